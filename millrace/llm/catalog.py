@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, url_filter
+from millrace.llm import chat_format, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -46,7 +50,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op4_ngram_join, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format)
+    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {
