@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat_format, decontamination, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+from millrace.llm import chat_format, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
@@ -48,9 +53,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format)
+    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, pipeline)
 }
 
 ORACLES: dict[str, str] = {

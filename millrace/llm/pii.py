@@ -182,9 +182,12 @@ def redact(text: Column, spans: dict[str, Column]) -> Column:
 
 
 def sanitize(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all spans of its texts redacted; all other columns as they were."""
+    """``docs`` with all spans of its texts redacted; n_chars, where there is one, follows the text, other columns are as they were."""
     clash = {c: f"_own_{c}" for c in docs.columns if c.startswith("pii_")}
     rows = with_spans(docs.withColumnsRenamed(clash), **options)
     spans = {k: F.col(f"pii_{k}") for k in (*KINDS, "term")}
-    out = rows.withColumn("text", redact(F.col("text"), spans)).select(*(clash.get(c, c) for c in docs.columns))
+    rows = rows.withColumn("text", redact(F.col("text"), spans))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    out = rows.select(*(clash.get(c, c) for c in docs.columns))
     return out.withColumnsRenamed({v: k for k, v in clash.items()})
