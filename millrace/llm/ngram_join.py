@@ -3,13 +3,14 @@
 The document-by-n-gram incidence matrix is multiplied with its transpose in blocks, and only where a product can reach the threshold:
 
 1. Each whole text becomes its set of n-gram hashes. Equal sets are one node (a fingerprint), so exact copies never meet each other.
-2. Columns are ordered by frequency class (a count sketch of fixed size over the corpus, summed from one array a task), then hash.
-   Two sets with Jaccard >= t share a column among the first n - ceil(t n) + 1 of each, so only those entries are multiplied. Frequent
+2. Columns are ordered by frequency class (a count sketch of fixed size over the corpus, summed from one array a task), within a class
+   the longest first, since long n-grams are rare, then by hash. Two sets with Jaccard >= t share a column among the first n - ceil(t n) + 1 of each, so only those entries are multiplied. Frequent
    n-grams come last and are hardly ever among them.
-3. A column with two nodes or more is a block; large blocks are cut to tiles. Within one, pairs whose sizes, or whose bitmaps, bound the
-   overlap below the threshold are discarded. What is left is verified on the whole sets, which accumulates the exact overlap.
-4. First each block offers a spanning forest of its pairs, whose verified links merge groups; then every pair between different groups
-   that has not been tried is tried. A pair within a group can change no group, so all groups are exact, and no block emits all its pairs.
+3. A column with two nodes or more of like size is a block; large blocks are cut to tiles. Within one, pairs whose sizes, or whose
+   bitmaps, bound the overlap below the threshold are discarded. What is left is verified on the whole sets, which accumulates the exact overlap.
+4. Small blocks give all their pairs. Of a large one, first a spanning forest of its pairs is tried, and the verified links merge groups;
+   then every pair between different groups that has not been tried is tried. A pair within a group can change no group, so all groups are
+   exact, and no large block emits all its pairs.
 
 Null and empty texts have no n-grams and link with nothing, nor do rows with a null doc_id (component_id null). Repeated rows are copies.
 An empty table gives no rows; extra columns are kept by ``keep`` and ignored otherwise. Sets are named by 64-bit fingerprints.
@@ -17,7 +18,7 @@ An empty table gives no rows; extra columns are kept by ``keep`` and ignored oth
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Roller, Words, mix, shingles, stored, text_chunks, utf8
@@ -28,8 +29,10 @@ SKETCH = 1 << 19
 SKETCH_PARTS = 32
 #: Nodes of a tile; a block with more is cut.
 TILE = 2000
+#: Blocks of so many nodes give all their pairs; larger ones are worked on as tiles.
+SMALL = 8
 #: Bytes of a node's bitmap at most.
-BITMAP_BYTES = 1024
+BITMAP_BYTES = 4096
 #: Tables of ids up to so many rows are broadcast (8 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,12 +40,20 @@ _ROLLER = Roller(41, fold=True)
 _U = np.uint64
 
 
-def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def sets_of(column: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct n-gram hashes of each text, and the bytes of each n-gram's words (255 at most)."""
     data, offsets = utf8(column)
     words = Words(data, offsets)
     keys, at = shingles(_ROLLER.ranges(_ROLLER.prefix(data), words.start, words.end), words.first, size)
-    return [np.unique(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    each = np.diff(at)
+    first = np.arange(len(keys)) - np.repeat(at[:-1], each) + np.repeat(words.first[:-1], each)
+    total = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    spans = np.minimum(total[np.minimum(first + size, np.repeat(words.first[1:], each))] - total[first], 255).astype(np.uint8)
+    out = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        distinct, where = np.unique(keys[a:b], return_index=True)
+        out.append((distinct, spans[a:b][where]))
+    return out
 
 
 def fingerprint(keys: np.ndarray) -> int:
@@ -59,7 +70,7 @@ def _nodes(size: int):
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
         for cut in text_chunks(batches):
-            sets = sets_of(cut.column("text"), size)
+            sets = [s for s, _ in sets_of(cut.column("text"), size)]
             if len(sets):
                 every = np.concatenate(sets)
                 sketch += np.bincount((every & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
@@ -99,12 +110,12 @@ def _prefixes(size: int, percent: int, ranks):
         rank, seen = np.frombuffer(ranks.value, np.uint8), set()
         for cut in text_chunks(batches):
             keys, nodes, sizes = [], [], []
-            for s in sets_of(cut.column("text"), size):
+            for s, spans in sets_of(cut.column("text"), size):
                 if not len(s) or (node := fingerprint(s)) in seen:
                     continue
                 seen.add(node)  # copies in one task count once
                 k = prefix_length(len(s), percent)
-                order = np.argsort(rank[(s & _U(SKETCH - 1)).astype(np.int64)], kind="stable")[:k]
+                order = np.lexsort((s, 255 - spans, rank[(s & _U(SKETCH - 1)).astype(np.int64)]))[:k]
                 keys.append(s[order])
                 nodes.append(np.full(k, node))
                 sizes.append(np.full(k, len(s), np.int32))
@@ -115,7 +126,8 @@ def _prefixes(size: int, percent: int, ranks):
 
 
 def bitmap(keys: np.ndarray) -> bytes:
-    bits = min(8 * BITMAP_BYTES, 8 << (len(keys) - 1).bit_length())
+    """Two to four bits for each n-gram."""
+    bits = min(8 * BITMAP_BYTES, max(64, 2 << (len(keys) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(keys & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -124,12 +136,17 @@ def bitmap(keys: np.ndarray) -> bytes:
 def _whole_sets(size: int):
     def run(batches):
         for cut in text_chunks(batches):
-            sets = sets_of(cut.column("text"), size)
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "bitmap", "keys"],
-            )
+            sets = [s for s, _ in sets_of(cut.column("text"), size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "keys"])
+
+    return run
+
+
+def _bitmaps(size: int):
+    def run(batches):
+        for cut in text_chunks(batches):
+            sets = [s for s, _ in sets_of(cut.column("text"), size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "bitmap", "n"])
 
     return run
 
@@ -141,13 +158,36 @@ def _fold(bits: int, width: int, to: int) -> int:
     return bits
 
 
+def reachable(n: int, x: tuple[int, int], m: int, y: tuple[int, int], percent: int) -> bool:
+    """Whether two sets of n and m n-grams with bitmaps (width, bits) can have enough in common: a bit that only one has counts one out."""
+    width = min(x[0], y[0])
+    a, b = _fold(x[1], x[0], width), _fold(y[1], y[0], width)
+    common = (a & b).bit_count()
+    bound = min(n - a.bit_count() + common, m - b.bit_count() + common)
+    return 100 * bound >= percent * (n + m - bound)
+
+
+def _unpacked(bitmap: bytes) -> tuple[int, int]:
+    return len(bitmap) * 8, int.from_bytes(bitmap, "little")
+
+
+def _reachable(percent: int):
+    def run(batches):
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("n", "x", "m", "y"))
+            keep = [reachable(n, _unpacked(x), m, _unpacked(y), percent) for n, x, m, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _pairs_of_tile(rows: list[tuple], percent: int, forest: bool):
     """Pairs of one tile that can reach the threshold: rows are (n, node, group, side, bitmap), of sides 0 and 1 (or 0 alone)."""
     rows = sorted(set(rows))
     if len({r[2] for r in rows}) < 2:
         return
     cross = len({r[3] for r in rows}) == 2 and any(r[3] == 1 for r in rows)
-    ready = [(n, node, group, side, len(b) * 8, int.from_bytes(b, "little")) for n, node, group, side, b in rows]
+    ready = [(n, node, group, side, _unpacked(b)) for n, node, group, side, b in rows]
     parent = {r[2]: r[2] for r in ready}
 
     def root(x):
@@ -156,22 +196,16 @@ def _pairs_of_tile(rows: list[tuple], percent: int, forest: bool):
             x = parent[x]
         return x
 
-    for i, (n, node, group, side, width, bits) in enumerate(ready):
-        folded = {width: (bits, bits.bit_count())}
-        mine = root(group) if forest else group
-        for m, other, their, at, w, more in ready[i + 1 :]:
+    for i, (n, node, group, side, bits) in enumerate(ready):
+        for m, other, their, at, more in ready[i + 1 :]:
             if 100 * n < percent * m:
                 break
-            if their == group or (cross and at == side) or (forest and root(their) == mine):
+            if their == group or (cross and at == side) or (forest and root(their) == root(group)):
                 continue
-            if w != width:
-                more = _fold(more, w, width)
-            common = (bits & more).bit_count()
-            bound = min(n - folded[width][1] + common, m - more.bit_count() + common)
-            if 100 * bound < percent * (n + m - bound):
+            if not reachable(n, bits, m, more, percent):
                 continue
             if forest:
-                parent[root(their)] = mine
+                parent[root(their)] = root(group)
             yield min(node, other), max(node, other)
 
 
@@ -224,19 +258,33 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ranks = spark.sparkContext.broadcast(_sketch(first.where(F.col("part").isNotNull()).select("part", "counts")).tobytes())
 
     entries = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_prefixes(size, percent, ranks), "key long, node long, n int").repartition("key")
-    blocks = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    postings = stored(entries.join(blocks, "key"), "postings")
-
-    wanted = postings.select("node").distinct()
-    where = nodes.where(F.col("doc_id").isNotNull()).join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    where = stored(where, "where")
-    texts_of = texts.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id", "left_semi")
-    sets = texts_of.mapInArrow(_whole_sets(size), "node long, bitmap binary, keys binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets, "sets")
-
+    entries = entries.groupBy("key", "node").agg(F.first("n").alias("n"))
+    by_size, block = Window.partitionBy("key").orderBy("n", "node"), Window.partitionBy("key")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    postings = entries.withColumn("near", near).where("near").select("key", "node", "n")
+    postings = stored(postings.withColumn("m", F.count("*").over(block)), "postings")
+    located = nodes.where(F.col("doc_id").isNotNull())
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """A text for each wanted node (and others of its doc_id, where doc_ids repeat)."""
+        where = stored(located.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "where")
+        return texts.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id", "left_semi")
+
+    shared = postings.select("node").distinct()
+    marks = texts_of(shared).mapInArrow(_bitmaps(size), "node long, bitmap binary, n long").join(shared, "node", "left_semi").dropDuplicates(["node"])
+    marks = stored(marks, "bitmaps")
+
+    members = postings.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("nodes"))  # SMALL of them at most
+    beside = F.flatten(F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    close = members.select(F.explode(F.filter(beside, lambda p: 100 * p["x"]["n"] >= percent * p["y"]["n"])).alias("p"))
+    close = close.select(F.least("p.x.node", "p.y.node").alias("a"), F.greatest("p.x.node", "p.y.node").alias("b")).distinct()
+    sized = marks.select("node", F.col("bitmap"), "n")
+    close = close.join(sized.toDF("a", "x", "n"), "a").join(sized.toDF("b", "y", "m"), "b").mapInArrow(_reachable(percent), "a long, b long")
+
+    large = postings.where(F.col("m") > SMALL)
     cuts = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    placed = postings.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    placed = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
 
     def candidates(labels: DataFrame | None) -> DataFrame:
@@ -244,15 +292,19 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if labels is not None:  # blocks within one group have nothing to tell
             mixed = rows.groupBy("key", "low", "high").agg((F.min("grp") < F.max("grp")).alias("mixed")).where("mixed").drop("mixed")
             rows = rows.join(mixed, ["key", "low", "high"], "left_semi")
-        rows = rows.join(sets.select("node", "bitmap"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        rows = rows.join(marks.select("node", "bitmap"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         return rows.mapInArrow(_tiles(percent, labels is None), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = texts_of(wanted).mapInArrow(_whole_sets(size), "node long, keys binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        sets = stored(sets, "sets")
         left = sets.select(F.col("node").alias("a"), F.col("keys").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("keys").alias("y"))
         return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
 
-    tried = verified(candidates(None))
+    tried = verified(close.union(candidates(None)).distinct())
     labels = components(tried.where("linked"))
     more = verified(candidates(labels).join(tried, ["a", "b"], "left_anti"))
     labels = components(tried.where("linked").union(more.where("linked")))
