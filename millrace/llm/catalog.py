@@ -62,7 +62,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, pipeline)
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _counted(pattern: str) -> str:
+    return f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+
+
+def _distance(name: str, share: str) -> str:
+    """Jensen-Shannon distance of each document's shares ``share`` (doc_id, language, bin, p; zero shares left out) to its language's mean."""
+    return f"""
+{name}_n AS (SELECT language, count(DISTINCT doc_id) AS docs FROM {share} GROUP BY language),
+{name}_q AS (SELECT s.language, bin, sum(p) / max(docs) AS q FROM {share} s JOIN {name}_n ON {name}_n.language = s.language GROUP BY s.language, bin),
+{name} AS (SELECT doc_id, round(sqrt(greatest(0, least(1, (sum(p * log2(2 * p / (p + q))) + sum(q * log2(2 * q / (p + q))) + 1 - sum(q)) / 2))), 6) AS distance
+           FROM {share} s JOIN {name}_q USING (language, bin) GROUP BY doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality_rules.LANGUAGES!r} THEN lang ELSE 'other' END AS language,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) x(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+n AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(0, 3) y(j) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+c AS (SELECT doc_id, language, unnest(range(0, 7)) AS bin, unnest([{_counted('[a-z]')}, {_counted('[A-Z]')}, {_counted('[0-9]')}, {_counted(r'[\x20\x09-\x0D]')},
+      {_counted(r'[.,;:!?\x27"()-]')}, {_counted(r'[\x00-\x08\x0E-\x1F\x7F#$%&*+/<=>@\[\\\]^_`{|}~]')}, {_counted(r'[^\x00-\x7F]')}]) AS k, length(t) AS total FROM d),
+cs AS (SELECT doc_id, language, bin, k / total AS p FROM c WHERE k > 0),
+v AS (SELECT doc_id, language, translate(unnest(w), '{_UPPER}', '{_LOWER}') AS x, len(w) AS total FROM d),
+b AS (SELECT doc_id, language, total, CASE WHEN strlen(x) > 1 THEN regexp_replace(x, '[.,;:!?]$', '') ELSE x END AS x FROM v),
+ws AS (SELECT doc_id, language, bin, count(*) / max(total) AS p FROM (SELECT *, CASE WHEN x IN {quality_rules.COMMON_WORDS!r} THEN x ELSE '' END AS bin FROM b) GROUP BY doc_id, language, bin),
+{_distance("cd", "cs")}, {_distance("wd", "ws")},
+f AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, CAST({_counted('[#*$%&|<>]')} AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+        CASE WHEN length(t) >= {quality_rules.MIN_CHARS} THEN coalesce(cd.distance, 0) ELSE 0 END AS char_distance,
+        CASE WHEN len(w) >= {quality_rules.MIN_WORDS} THEN coalesce(wd.distance, 0) ELSE 0 END AS word_distance
+      FROM d JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND char_distance <= {quality_rules.MAX_CHAR_DISTANCE} AND word_distance <= {quality_rules.MAX_WORD_DISTANCE} AS kept FROM f""",
+    "op4_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+      FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) x(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.y, r.label FROM r JOIN u ON u.x = r.doc_id)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(label) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
     "op2_url_filter": f"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -177,7 +177,7 @@ def score(
             for column, refs, width, enough in (("char_hist", chars, 7, counts["n_chars"] >= min_chars), ("word_hist", words, k, counts["n_words"] >= min_words)):
                 hist = b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 ref = np.array([refs.get(x, np.zeros(width))[:width] for x in lang]).reshape(-1, width)
-                arrays.append(np.where(enough, js_distance(hist, ref), 0.0))
+                arrays.append(np.round(np.where(enough, js_distance(hist, ref), 0.0), 6))
             failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
             kept = ~failed & (arrays[0] <= max_char_distance) & (arrays[1] <= max_word_distance)
             yield pa.RecordBatch.from_arrays(
