@@ -80,7 +80,7 @@ def _filtered(kind: str, text: Column, spans: Column) -> Column:
 
 
 def _tagged(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["first"].alias("first"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
+    return F.transform(spans, lambda x: F.struct(x["first"].alias("first"), (-x["end"]).alias("longest_first"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -168,7 +168,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(text: Column, spans: dict[str, Column]) -> Column:
-    """``text`` with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """``text`` with each span replaced by its kind in brackets; overlapping spans become one, named by the first (of one start, the longest)."""
     tagged = F.concat(*(_tagged(k, s) for k, s in spans.items()))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, trees: int
     ones = {r.label: r.n for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(ones.values())
     share = ones.get(1.0, 0) / total if total else 0.5
-    if not 0 < share < 1:
+    if not total or not 0 < share < 1:
         data.unpersist()
         p = min(max(share, 0.001), 0.999)
         return RuleModel(float(np.log(p / (1 - p))), [])
