@@ -28,7 +28,7 @@ from millrace.llm.graph import components
 SKETCH = 1 << 19
 SKETCH_PARTS = 32
 #: Nodes of a tile; a block with more is cut.
-TILE = 2000
+TILE = 512
 #: Blocks of so many nodes give all their pairs; larger ones are worked on as tiles.
 SMALL = 8
 #: Bytes of a node's bitmap at most.
@@ -125,9 +125,9 @@ def _prefixes(size: int, percent: int, ranks):
     return run
 
 
-def bitmap(keys: np.ndarray) -> bytes:
-    """Two to four bits for each n-gram."""
-    bits = min(8 * BITMAP_BYTES, max(64, 2 << (len(keys) - 1).bit_length()))
+def bitmap(keys: np.ndarray, each: int = 2) -> bytes:
+    """``each`` to twice ``each`` bits for every n-gram."""
+    bits = min(8 * BITMAP_BYTES, max(64, each << (len(keys) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(keys & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -146,7 +146,7 @@ def _bitmaps(size: int):
     def run(batches):
         for cut in text_chunks(batches):
             sets = [s for s, _ in sets_of(cut.column("text"), size) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "bitmap", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([bitmap(s, 8) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "bitmap", "fine", "n"])
 
     return run
 
@@ -181,13 +181,16 @@ def _reachable(percent: int):
     return run
 
 
-def _pairs_of_tile(rows: list[tuple], percent: int, forest: bool):
-    """Pairs of one tile that can reach the threshold: rows are (n, node, group, side, bitmap), of sides 0 and 1 (or 0 alone)."""
-    rows = sorted(set(rows))
+def _pairs_of_tile(key: int, rows: list[tuple], percent: int, forest: bool):
+    """Pairs of one tile that can reach the threshold: rows are (n, node, group, side, bitmap, keys), of sides 0 and 1 (or 0 alone).
+
+    With ``forest`` a spanning forest of them; else each pair in the block of its smallest common key alone.
+    """
+    rows = sorted(rows, key=lambda r: r[:2])
     if len({r[2] for r in rows}) < 2:
         return
     cross = len({r[3] for r in rows}) == 2 and any(r[3] == 1 for r in rows)
-    ready = [(n, node, group, side, _unpacked(b)) for n, node, group, side, b in rows]
+    ready = [(n, node, group, side, _unpacked(b), set(keys)) for n, node, group, side, b, keys in rows]
     parent = {r[2]: r[2] for r in ready}
 
     def root(x):
@@ -196,13 +199,13 @@ def _pairs_of_tile(rows: list[tuple], percent: int, forest: bool):
             x = parent[x]
         return x
 
-    for i, (n, node, group, side, bits) in enumerate(ready):
-        for m, other, their, at, more in ready[i + 1 :]:
+    for i, (n, node, group, side, bits, mine) in enumerate(ready):
+        for m, other, their, at, more, theirs in ready[i + 1 :]:
             if 100 * n < percent * m:
                 break
             if their == group or (cross and at == side) or (forest and root(their) == root(group)):
                 continue
-            if not reachable(n, bits, m, more, percent):
+            if not reachable(n, bits, m, more, percent) or (not forest and min(mine & theirs) != key):
                 continue
             if forest:
                 parent[root(their)] = root(group)
@@ -213,7 +216,7 @@ def _tiles(percent: int, forest: bool):
     """Streams sorted tiles; holds one."""
 
     def run(batches):
-        current, rows, out = None, [], []
+        current, rows, out = (None, None, None), [], []
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -221,15 +224,15 @@ def _tiles(percent: int, forest: bool):
             return batch
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "low", "high", "n", "node", "grp", "side", "bitmap")]
+            columns = [b.column(c).to_pylist() for c in ("key", "low", "high", "n", "node", "grp", "side", "fine", "keys")]
             for key, low, high, *row in zip(*columns, strict=True):
                 if (key, low, high) != current:
-                    out.extend(_pairs_of_tile(rows, percent, forest))
+                    out.extend(_pairs_of_tile(current[0], rows, percent, forest))
                     current, rows = (key, low, high), []
                     if len(out) > 10_000:
                         yield flush()
                 rows.append(tuple(row))
-        out.extend(_pairs_of_tile(rows, percent, forest))
+        out.extend(_pairs_of_tile(current[0], rows, percent, forest))
         yield flush()
 
     return run
@@ -271,7 +274,7 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return texts.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id", "left_semi")
 
     shared = postings.select("node").distinct()
-    marks = texts_of(shared).mapInArrow(_bitmaps(size), "node long, bitmap binary, n long").join(shared, "node", "left_semi").dropDuplicates(["node"])
+    marks = texts_of(shared).mapInArrow(_bitmaps(size), "node long, bitmap binary, fine binary, n long").join(shared, "node", "left_semi").dropDuplicates(["node"])
     marks = stored(marks, "bitmaps")
 
     members = postings.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("nodes"))  # SMALL of them at most
@@ -287,12 +290,15 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     placed = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
 
+    carried = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(marks.select("node", "fine"), "node")  # no more keys than the prefix has
+    carried = stored(carried, "carried")
+
     def candidates(labels: DataFrame | None) -> DataFrame:
         rows = placed.withColumn("grp", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("grp", F.coalesce("label", "node")).drop("label")
         if labels is not None:  # blocks within one group have nothing to tell
             mixed = rows.groupBy("key", "low", "high").agg((F.min("grp") < F.max("grp")).alias("mixed")).where("mixed").drop("mixed")
             rows = rows.join(mixed, ["key", "low", "high"], "left_semi")
-        rows = rows.join(marks.select("node", "bitmap"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        rows = rows.join(carried, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         return rows.mapInArrow(_tiles(percent, labels is None), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
