@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 
@@ -37,7 +38,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ",", "null"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
