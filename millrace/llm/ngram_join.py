@@ -28,7 +28,7 @@ from millrace.llm.graph import components
 SKETCH = 1 << 19
 SKETCH_PARTS = 32
 #: Nodes of a tile; a block with more is cut.
-TILE = 512
+TILE = 2000
 #: Blocks of so many nodes give all their pairs; larger ones are worked on as tiles.
 SMALL = 8
 #: Bytes of a node's bitmap at most.
@@ -224,7 +224,7 @@ def _tiles(percent: int, forest: bool):
             return batch
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "low", "high", "n", "node", "grp", "side", "fine", "keys")]
+            columns = [b.column(c).to_pylist() for c in ("key", "low", "high", "n", "node", "grp", "side", "bitmap", "keys")]
             for key, low, high, *row in zip(*columns, strict=True):
                 if (key, low, high) != current:
                     out.extend(_pairs_of_tile(current[0], rows, percent, forest))
@@ -290,15 +290,18 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     placed = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
 
-    carried = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(marks.select("node", "fine"), "node")  # no more keys than the prefix has
-    carried = stored(carried, "carried")
-
     def candidates(labels: DataFrame | None) -> DataFrame:
-        rows = placed.withColumn("grp", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("grp", F.coalesce("label", "node")).drop("label")
-        if labels is not None:  # blocks within one group have nothing to tell
+        """Without ``labels`` a forest of each tile, by coarse bitmaps; with them all pairs between groups, each in one tile, by fine ones."""
+        if labels is None:
+            rows = placed.withColumn("grp", F.col("node")).join(marks.select("node", "bitmap"), "node").withColumn("keys", F.array().cast("array<bigint>"))
+        else:
+            rows = placed.join(labels, "node", "left").withColumn("grp", F.coalesce("label", "node")).drop("label")
+            # Tiles within one group have nothing to tell.
             mixed = rows.groupBy("key", "low", "high").agg((F.min("grp") < F.max("grp")).alias("mixed")).where("mixed").drop("mixed")
-            rows = rows.join(mixed, ["key", "low", "high"], "left_semi")
-        rows = rows.join(carried, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+            rows = stored(rows.join(mixed, ["key", "low", "high"], "left_semi"), "mixed")
+            keys = rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # no more than the prefix has
+            rows = rows.join(keys.join(marks.select("node", F.col("fine").alias("bitmap")), "node"), "node")
+        rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         return rows.mapInArrow(_tiles(percent, labels is None), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
