@@ -46,7 +46,7 @@ def percent_score(x: Column) -> Column:
 
 def compact_number(x: Column) -> Column:
     """1234 as 1.2K, 2500000 as 2.5M."""
-    short = lambda v, mark: F.concat(F.regexp_replace(F.format_number(v, 1), r"\.0$", ""), F.lit(mark))
+    short = lambda v, mark: F.concat(F.regexp_replace(F.round(v, 1).cast("string"), r"\.0$", ""), F.lit(mark))
     return F.when(x >= 1_000_000, short(x / 1_000_000, "M")).when(x >= 1000, short(x / 1000, "K")).otherwise(x.cast("bigint").cast("string"))
 
 

@@ -152,10 +152,10 @@ def owners_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN supplier ON s_suppkey = c_custkey")
+@query("SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c FULL JOIN supplier ON s_suppkey = c_custkey")
 def crawl_merge_full_join(spark, sf_dir):
     """Two feeds merged on their key; either may lack a record."""
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    a = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     rows = a.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c_custkey"), "full_outer")
     return rows.select("c_custkey", "s_suppkey", F.coalesce("c_nationkey", "s_nationkey").alias("nation"))
 

@@ -187,8 +187,8 @@ def llm_output_decode(spark, sf_dir):
     return first.select("r_regionkey", "id", "rank", numbers.unit_score(F.col("score")).alias("score"), "reason")
 
 
-@query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) >= 1000000 THEN 'M' WHEN length(text) >= 1000 THEN regexp_replace(printf('%.1f', round(length(text) / 1000.0, 1)), '\\.0$', '') || 'K' ELSE CAST(length(text) AS VARCHAR) END AS shown FROM documents WHERE length(text) % 50 <> 0")
+@query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) >= 1000000 THEN 'M' WHEN length(text) >= 1000 THEN regexp_replace(printf('%.1f', round(length(text) / 1000.0, 1)), '\\.0$', '') || 'K' ELSE CAST(length(text) AS VARCHAR) END AS shown FROM documents")
 def compact_numbers(spark, sf_dir):
     """Numbers as listings show them."""
     n = F.char_length("text").cast("bigint")
-    return table(spark, sf_dir, "documents").where(n % 50 != 0).select("doc_id", n.alias("n"), numbers.compact_number(n).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), numbers.compact_number(n).alias("shown"))
