@@ -27,8 +27,8 @@ COMMON_WORDS = (
 COMMON_WORDS = tuple(dict.fromkeys(COMMON_WORDS))
 
 #: Production limits: distances above them reject; words and characters below them are not judged.
-MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.46
+MAX_CHAR_DISTANCE = 0.33
+MAX_WORD_DISTANCE = 0.50
 MIN_CHARS = 200
 MIN_WORDS = 50
 
