@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once. Each byte takes up to about 60 bytes of working arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch: few, since a row may be a long text.
+BATCH_ROWS = 1000
 
 _MASK = (1 << 64) - 1
 _U = np.uint64
@@ -37,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts will go to workers in batches of BATCH_ROWS rows (a setting of its session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a cut has about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import _STEPS, Roller, Words, mix, text_chunks, utf8
+from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, text_chunks, utf8
 
 SPAN = 12
 #: Weight 8 each; a shift and a mask with no changed word under a 1 is enough for a hit.
@@ -146,7 +146,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int | Non
 
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str, masks=MASKS, stretch: int = STRETCH, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` (none may start with ``column``) and ``column``: the verified overlaps (item_id, first_word, end_word) of each text."""
-    out, parts = docs, []
+    out, parts = small_batches(docs), []
     for i, block in enumerate(_blocks(benchmark, block_words)):
         parts.append(f"{column}{i}")
         schema = T.StructType([*out.schema.fields, T.StructField(parts[-1], T._parse_datatype_string(_FOUND))])

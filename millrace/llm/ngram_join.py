@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, mix, shingles, stored, text_chunks, utf8
+from millrace.llm.common import Roller, Words, mix, shingles, small_batches, stored, text_chunks, utf8
 from millrace.llm.graph import components
 
 #: Counters of the frequency sketch (2 MB a task) and how it is cut for adding up.
@@ -255,7 +255,7 @@ def _verify(percent: int):
 def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per document: doc_id, n (set size), node, label (names its group)."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = small_batches(docs).select("doc_id", "text")
     first = stored(texts.mapInArrow(_nodes(size), "doc_id long, n long, node long, part int, counts binary"), "nodes")
     nodes = first.where(F.col("part").isNull()).select("doc_id", "n", "node")
     ranks = spark.sparkContext.broadcast(_sketch(first.where(F.col("part").isNotNull()).select("part", "counts")).tobytes())

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import stored, text_chunks, utf8
+from millrace.llm.common import small_batches, stored, text_chunks, utf8
 from millrace.llm.quality_rules import CHAR_CLASSES, TextStats
 
 #: At most so many labelled rows train the model (a bounded sample; all rows are scored).
@@ -54,7 +54,7 @@ def _append(prefix: str):
 def features(docs: DataFrame, prefix: str = "") -> DataFrame:
     """All columns of ``docs`` and the FEATURES of each text, named with ``prefix``."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + f, T.DoubleType()) for f in FEATURES)])
-    return docs.mapInArrow(_append(prefix), schema)
+    return small_batches(docs).mapInArrow(_append(prefix), schema)
 
 
 def held_out() -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, segment_sums, shingles, stored, text_chunks, utf8
+from millrace.llm.common import Roller, Words, segment_sums, shingles, small_batches, stored, text_chunks, utf8
 
 LANGUAGES = ("en", "de", "fr", "es")
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -165,7 +165,7 @@ def score(
 ) -> DataFrame:
     """One row per document: base counts, base_failed, char_distance, word_distance, kept."""
     language = F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit("other"))
-    hists = stored(docs.select("doc_id", language.alias("language"), "text").mapInArrow(_histograms, _HISTOGRAMS), "histograms")
+    hists = stored(small_batches(docs).select("doc_id", language.alias("language"), "text").mapInArrow(_histograms, _HISTOGRAMS), "histograms")
     chars, words = references(hists, "char_hist"), references(hists, "word_hist")
     k = len(COMMON_WORDS) + 1
 
