@@ -8,7 +8,7 @@ The document-by-n-gram incidence matrix is multiplied with its transpose in bloc
    n-grams come last and are hardly ever among them.
 3. A column with two nodes or more of like size is a block; large blocks are cut to tiles. Within one, pairs whose sizes, or whose
    bitmaps, bound the overlap below the threshold are discarded. What is left is verified on the whole sets, which accumulates the exact overlap.
-4. Small blocks give all their pairs. Of a large one, first a spanning forest of its pairs is tried, and the verified links merge groups;
+4. Small blocks give all their pairs. Of a large one, first a spanning forest of the pairs with some pivots is tried, and the verified links merge groups;
    then every pair between different groups that has not been tried is tried. A pair within a group can change no group, so all groups are
    exact, and no large block emits all its pairs.
 
@@ -31,6 +31,8 @@ SKETCH_PARTS = 32
 TILE = 2000
 #: Blocks of so many nodes give all their pairs; larger ones are worked on as tiles.
 SMALL = 8
+#: Nodes of a tile that the first round compares with all others; what they miss is left to the second, which is exact.
+PIVOTS = 16
 #: Bytes of a node's bitmap at most.
 BITMAP_BYTES = 4096
 #: Tables of ids up to so many rows are broadcast (8 bytes each); larger ones are joined by shuffle.
@@ -125,7 +127,7 @@ def _prefixes(size: int, percent: int, ranks):
     return run
 
 
-def bitmap(keys: np.ndarray, each: int = 2) -> bytes:
+def bitmap(keys: np.ndarray, each: int) -> bytes:
     """``each`` to twice ``each`` bits for every n-gram."""
     bits = min(8 * BITMAP_BYTES, max(64, each << (len(keys) - 1).bit_length()))
     out = np.zeros(bits, bool)
@@ -146,7 +148,7 @@ def _bitmaps(size: int):
     def run(batches):
         for cut in text_chunks(batches):
             sets = [s for s, _ in sets_of(cut.column("text"), size) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([bitmap(s, 8) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "bitmap", "fine", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bitmap(s, 1) for s in sets], pa.binary()), pa.array([bitmap(s, 8) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["node", "bitmap", "fine", "n"])
 
     return run
 
@@ -199,7 +201,7 @@ def _pairs_of_tile(key: int, rows: list[tuple], percent: int, forest: bool):
             x = parent[x]
         return x
 
-    for i, (n, node, group, side, bits, mine) in enumerate(ready):
+    for i, (n, node, group, side, bits, mine) in enumerate(ready[:PIVOTS] if forest else ready):
         for m, other, their, at, more, theirs in ready[i + 1 :]:
             if 100 * n < percent * m:
                 break
