@@ -3,9 +3,10 @@
 1. ``pieces``: each whole text is tokenised (distinct words once per cut, by dictionary encoding), the end id appended, and documents
    over the capacity cut into pieces. Only lengths and a checksum travel on.
 2. The length histogram (``capacity`` rows at most) goes to the driver. The configuration linear program  min sum x_p  with
-   sum_p a_pL x_p >= n_L  over patterns p (of pieces above a sixteenth of a sequence) is solved by multiplicative weights: a pattern of
+   sum_p a_pL x_p >= n_L  over patterns p (of pieces above a sixteenth of a sequence) starts by multiplicative weights: a pattern of
    greatest weight is priced by knapsack dynamic programming, used as often as its scarcest length allows, and the weights of its
-   lengths shrink by the share that it covers.
+   lengths shrink by the share that it covers. The program over the patterns so far then sets the weights, until every length is
+   covered and the uses are within ``GAP`` of the dual bound; lengths are counted in units, as fine as that asks for.
 3. Rounding: patterns are used in whole numbers; their places go to real pieces and the room left to small ones; the rest is packed by
    best fit on the histogram. Where best fit alone needs fewer sequences, its packing is used.
 4. The packing is a table of slots (length, ranks, sequence, offset) of a size bounded by patterns and lengths. Pieces get a rank
@@ -28,6 +29,8 @@ from millrace.llm.common import Words, small_batches, stored, text_chunks, utf8
 
 CAPACITY = 4096
 END_ID = 1
+#: The linear program is solved to this share above its lower bound.
+GAP = 0.01
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 150_000
 
@@ -157,8 +160,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(weights: np.ndarray) -> dict[int, int]:
-    """Unbounded knapsack: the sizes (with numbers) of greatest weight that fit len(weights) - 1; weights[0] is unused."""
+def _knapsack(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each room up to len(weights) - 1: the greatest weight that fits, and the last size taken for it (0: none, as one less room)."""
     capacity = len(weights) - 1
     best = np.zeros(capacity + 1)
     pick = np.zeros(capacity + 1, np.int64)
@@ -166,41 +169,140 @@ def price(weights: np.ndarray) -> dict[int, int]:
         gain = best[c - 1 :: -1][:c] + weights[1 : c + 1]
         k = int(gain.argmax())
         best[c], pick[c] = (gain[k], k + 1) if gain[k] > best[c - 1] else (best[c - 1], 0)
+    return best, pick
+
+
+def _taken(pick: np.ndarray, room: int) -> dict[int, int]:
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        size = int(pick[c])
+    while room > 0:
+        size = int(pick[room])
         if size:
             out[size] = out.get(size, 0) + 1
-        c -= size or 1
+        room -= size or 1
     return out
 
 
-def configuration_lp(counts: np.ndarray, rounds: int = 150, step: float = 0.4) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used, covering counts[size] pieces of each size in bins of len(counts) - 1.
-
-    Multiplicative weights: every round prices a pattern, uses it as often as its scarcest size allows, and shrinks the weights of its
-    sizes by the share of them that it covers. The uses are scaled so that the size covered least is covered once.
-    """
+def price(weights: np.ndarray) -> dict[int, int]:
+    """Unbounded knapsack: the sizes (with numbers) of greatest weight that fit len(weights) - 1; weights[0] is unused."""
+    return _taken(_knapsack(weights)[1], len(weights) - 1)
+
+
+class _Master:
+    """The program over the patterns found so far, by the revised simplex method: min sum x, A x >= need, with prices of the sizes."""
+
+    def __init__(self, sizes: np.ndarray, need: np.ndarray, capacity: int):
+        self.at = {int(n): i for i, n in enumerate(sizes)}
+        self.need = need * (1 + 1e-7 * np.random.default_rng(0).random(len(need)))  # no two rows leave the basis at once
+        self.basis: list[dict[int, int] | None] = [{int(n): capacity // int(n)} for n in sizes]
+        self.rows = list(range(len(sizes)))  # the row of a surplus column
+        self.pivots = 0
+        self._invert()
+
+    def _column(self, i: int) -> np.ndarray:
+        out = np.zeros(len(self.need))
+        if self.basis[i] is None:
+            out[self.rows[i]] = -1
+        else:
+            for n, a in self.basis[i].items():
+                out[self.at[n]] = a
+        return out
+
+    def _invert(self) -> None:
+        self.inverse = np.linalg.inv(np.stack([self._column(i) for i in range(len(self.need))], 1))
+        self.x = np.maximum(self.inverse @ self.need, 0)
+        self.cost = np.array([float(p is not None) for p in self.basis])
+        self.prices = self.cost @ self.inverse
+
+    def enter(self, pattern: dict[int, int] | None, row: int = 0, least: float = 1e-9) -> bool:
+        """A pattern, or the surplus of a row, comes into the basis if it costs ``least`` less than its prices."""
+        rows = [row] if pattern is None else [self.at[n] for n in pattern]
+        values = np.array([-1.0] if pattern is None else list(pattern.values()), float)
+        reduced = float(pattern is not None) - float(self.prices[rows] @ values)
+        if reduced > -least:
+            return False
+        change = self.inverse[:, rows] @ values
+        ratio = np.full(len(change), np.inf)
+        up = change > 1e-9
+        ratio[up] = self.x[up] / change[up]
+        i = int(ratio.argmin())
+        self.x = np.maximum(self.x - ratio[i] * change, 0)
+        self.x[i] = ratio[i]
+        new = self.inverse[i] / change[i]
+        self.inverse -= np.outer(change, new)
+        self.inverse[i] = new
+        self.prices = self.prices + reduced * new
+        self.basis[i], self.rows[i], self.cost[i] = pattern, row, float(pattern is not None)
+        self.pivots += 1
+        if self.pivots % 1000 == 0:
+            self._invert()
+        return True
+
+
+def _program(counts: np.ndarray, rounds: int, step: float, gap: float) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """The patterns with their uses, and prices of the sizes; the uses sum to at most 1 + ``gap`` times the bound of the prices."""
     have = counts > 0
     have[0] = False
     if not have.any():
-        return []
+        return [], np.zeros(len(counts))
+    capacity, sizes = len(counts) - 1, np.flatnonzero(have)
     weights = np.where(have, np.arange(len(counts)) / len(counts), -1.0)
-    covered = np.zeros(len(counts))
-    used: dict[tuple, float] = {}
+    master = _Master(sizes, counts[sizes].astype(float), capacity)
     for _ in range(rounds):
         pattern = price(weights)
         amount = min(counts[n] / a for n, a in pattern.items())
-        key = tuple(sorted(pattern.items()))
-        used[key] = used.get(key, 0.0) + amount
         for n, a in pattern.items():
-            covered[n] += a * amount / counts[n]
             weights[n] *= np.exp(-step * a * amount / counts[n])
-        if covered[have].min() >= 4:
+        master.enter(pattern)
+    bound, prices = 0.0, np.zeros(len(counts))
+    while True:
+        low = int(master.prices.argmin())
+        if master.prices[low] < -1e-9:
+            master.enter(None, low)
+            continue
+        weights = np.full(len(counts), -1.0)
+        weights[sizes] = np.maximum(master.prices, 0)
+        best, pick = _knapsack(weights)
+        if (reached := float(counts[sizes] @ weights[sizes]) / best[capacity]) > bound:
+            bound, prices = reached, np.maximum(weights, 0) / best[capacity]
+        if master.cost @ master.x <= bound * (1 + gap) or best[capacity] <= 1 + 1e-9:
             break
-    least = max(covered[have].min(), 1.0)
-    return [(dict(key), x / least) for key, x in used.items()]
+        # The best pattern of each size by the same pricing, as long as it is worth half of what the best one was.
+        value = weights[sizes] + best[capacity - sizes]
+        for i in np.argsort(-value, kind="stable")[: int((value > 1 + (best[capacity] - 1) / 2).sum())]:
+            pattern = _taken(pick, capacity - int(sizes[i]))
+            pattern[int(sizes[i])] = pattern.get(int(sizes[i]), 0) + 1
+            master.enter(pattern, least=(best[capacity] - 1) / 2)
+    return [(p, float(x)) for p, x in zip(master.basis, master.x, strict=True) if p is not None and x > 0], prices
+
+
+def configuration_lp(counts: np.ndarray, rounds: int = 150, step: float = 0.4, gap: float = GAP / 4) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often each is used, covering counts[size] pieces of each size in bins of len(counts) - 1.
+
+    Multiplicative weights give the first patterns: every round prices one, uses it as often as its scarcest size allows, and shrinks
+    the weights of its sizes by the share of them that it covers. The program over the patterns then sets the weights of the sizes, and
+    patterns are priced until the uses are within ``gap`` of the bound that the weights give. Every size is covered.
+    """
+    return _program(counts, rounds, step, gap)[0]
+
+
+def large_program(counts: np.ndarray, capacity: int, unit: int | None = None, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], int, float]:
+    """The program over pieces above a sixteenth of a sequence: patterns of sizes in units of tokens, the unit, and a lower bound of the
+    uses in single tokens. The unit is halved until the uses are within ``gap`` of the bound, unless it is given.
+    """
+    large = np.where(np.arange(len(counts)) > capacity // 16, counts, 0)
+    at, given = unit or max(1, capacity // 256), unit is not None
+    while capacity % at:
+        at -= 1
+    bound = float(large @ np.arange(len(counts))) / capacity
+    while True:
+        sizes = -(-np.arange(len(counts)) // at)
+        program, prices = _program(np.bincount(sizes, large, minlength=capacity // at + 1), 150, 0.4, gap / 4)
+        weights = np.where(large > 0, prices[sizes], -1.0)
+        if program:
+            bound = max(bound, float(large @ np.maximum(weights, 0)) / _knapsack(weights)[0][capacity])
+        if given or at == 1 or sum(x for _, x in program) <= bound * (1 + gap):
+            return program, at, bound
+        at = next(n for n in range(at // 2, 0, -1) if capacity % n == 0)
 
 
 class _Left:
@@ -247,17 +349,14 @@ def best_fit(left: _Left, capacity: int) -> list[tuple[dict[int, int], int]]:
     return out
 
 
-def rounded(counts: np.ndarray, capacity: int, unit: int = 1) -> list[tuple[dict[int, int], int]]:
-    """The linear program over pieces above a sixteenth of a sequence, in units of ``unit`` tokens, rounded to whole sequences.
+def rounded(counts: np.ndarray, capacity: int, unit: int | None = None) -> list[tuple[dict[int, int], int]]:
+    """``large_program`` rounded to whole sequences: down at first, then once more each by falling remainder while the pieces last.
 
     A pattern's places are taken by the longest pieces of their sizes, and its room by best fit; the rest is packed by best fit.
     """
-    large = np.arange(len(counts)) > capacity // 16
-    sizes = -(-np.arange(len(counts)) // unit)
-    program = configuration_lp(np.bincount(sizes[large], counts[large], minlength=capacity // unit + 1))
+    program, unit, _ = large_program(counts, capacity, unit)
     left, out = _Left(counts), []
-    for places, x in sorted(program, key=lambda p: -p[1]):
-        wanted = int(x)
+    for places, wanted in [(p, int(x)) for p, x in sorted(program, key=lambda p: -p[1])] + [(p, 1) for p, x in sorted(program, key=lambda p: int(p[1]) - p[1]) if x % 1 > 1e-3]:
         while wanted > 0:
             pattern: dict[int, int] = {}
             whole = True

@@ -74,6 +74,29 @@ def test_linear_program_covers_what_it_uses():
     assert (covered[[60, 40, 30]] >= 0.999 * counts[[60, 40, 30]]).all()
 
 
+def test_linear_program_covers_every_length_and_meets_its_bound():
+    for low, high, number in ((1025, 2048, 200), (257, 4097, 7)):
+        counts = np.zeros(4097, np.int64)
+        counts[low:high] = number  # no small pieces that could fill gaps
+        program, unit, bound = packing.large_program(counts, 4096)
+        covered = np.zeros(4096 // unit + 1)
+        for pattern, x in program:
+            assert sum(n * a for n, a in pattern.items()) <= 4096 // unit
+            for n, a in pattern.items():
+                covered[n] += a * x
+        need = np.bincount(-(-np.arange(4097) // unit), counts, minlength=len(covered))
+        assert (covered >= 0.9999 * need).all()
+        assert sum(x for _, x in program) <= (1 + packing.GAP) * bound
+        held = np.zeros(4097, np.int64)
+        plan = packing.rounded(counts, 4096)
+        for pattern, times in plan:
+            assert sum(n * a for n, a in pattern.items()) <= 4096
+            for n, a in pattern.items():
+                held[n] += a * times
+        assert (held == counts).all()
+        assert sum(t for _, t in plan) <= 1.015 * bound
+
+
 def test_extra_columns_and_empty_table(spark):
     columns = ("doc_id", "piece", "start", "length", "ids_crc32")
     assert pairs(packing.pack(documents(spark, extra=True)), *columns) == pairs(packing.pack(documents(spark)), *columns)
