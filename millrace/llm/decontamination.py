@@ -5,7 +5,10 @@ copy. The windows of every benchmark item and of every whole document are hashed
 document are laid side by side on its diagonal, and the overlap is real if some stretch of ``STRETCH`` words (the whole item, where that
 is shorter) agrees in at least ``AGREE`` of its words. Words are compared with A-Z folded and without marks at their end.
 
-Items shorter than SPAN words are looked up by one mask of all their words; items under ``LEAST_WORDS`` words are too short to tell and
+Every overlap that the rule accepts is found: ``MASKS`` and ``COMPLETING`` together have, for each number of words from SPAN to STRETCH and
+each placement of as many changed words as AGREE allows, a mask and a shift without a changed word under a 1 (other masks, or a stretch or
+share below those, give no such warranty). Items shorter than SPAN words are cut into two blocks more than they may have changed words,
+and looked up by masks of their whole length, one for each two blocks: two blocks at least are unchanged. Items under ``LEAST_WORDS`` words are too short to tell and
 are ignored. The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents each, so what a worker
 holds is bounded at any size of the benchmark.
 
@@ -13,6 +16,8 @@ Null and empty texts and items match nothing; null item ids stay null in ``items
 documents get a row each. Empty tables are allowed, extra columns ignored.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, text_
 SPAN = 12
 #: Weight 8 each; a shift and a mask with no changed word under a 1 is enough for a hit.
 MASKS = ("111010010111", "110110101011", "101101110101")
+#: Weight 6 each, for the placements of changed words that no mask above gets past; found by enumeration of all.
+COMPLETING = ("1110111", "111000001011", "111111")
 STRETCH = 24
 AGREE = 0.8
 LEAST_WORDS = 5
@@ -52,23 +59,34 @@ def seed_hashes(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.nd
     return mix(out), at
 
 
+def whole_masks(n: int, agree: float) -> list[str]:
+    """Masks over all of an item of n words, one of which has no 1 over a changed word if ``agree`` of the words are unchanged."""
+    changed = n - int(np.ceil(agree * n))
+    blocks = np.array_split(np.arange(n), min(changed + 2, n))
+    kept = combinations(blocks, len(blocks) - changed)
+    return ["".join("01"[i in on] for i in range(n)) for on in (set(np.concatenate(k).tolist()) for k in kept)]
+
+
 class SeedIndex:
     """The seeds of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], masks=MASKS):
+    def __init__(self, items: list[tuple[int | None, str]], masks=MASKS + COMPLETING, agree: float = AGREE):
         self.ids = [i for i, _ in items]
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         words = Words(data, offsets)
         self.words, self.first = word_hashes(data, words), words.first
-        span = len(masks[0])
+        span = max(map(len, masks))
         short = sorted({int(n) for n in words.counts if LEAST_WORDS <= n < span})
-        self.masks = [*masks, *("1" * n for n in short)]
+        whole = [m for n in short for m in whole_masks(n, agree)]
+        self.masks = [*masks, *whole]
         self.tables = []
-        for mask in self.masks:
+        for i, mask in enumerate(self.masks):
             keys, at = seed_hashes(self.words, self.first, mask)
-            if len(mask) < span:  # the whole of an item of just this length
-                whole = np.isin(at, self.first[:-1][words.counts == len(mask)])
-                keys, at = keys[whole], at[whole]
+            if i < len(masks):
+                here = np.repeat(words.counts >= span, words.counts)[at]
+            else:  # the whole of an item of just this length
+                here = np.isin(at, self.first[:-1][words.counts == len(mask)])
+            keys, at = keys[here], at[here]
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
             filter_ = np.zeros(1 << 20, bool)
@@ -111,7 +129,7 @@ def _append(block: list[tuple[int | None, str]], name: str, masks, stretch: int,
 
     def run(batches):
         if not held:
-            held.append(SeedIndex(block, masks))
+            held.append(SeedIndex(block, masks, agree))
         index = held[0]
         for cut in text_chunks(batches):
             data, offsets = utf8(cut.column("text"))
@@ -144,7 +162,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int | Non
     return blocks
 
 
-def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str, masks=MASKS, stretch: int = STRETCH, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str, masks=MASKS + COMPLETING, stretch: int = STRETCH, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` (none may start with ``column``) and ``column``: the verified overlaps (item_id, first_word, end_word) of each text."""
     out, parts = small_batches(docs), []
     for i, block in enumerate(_blocks(benchmark, block_words)):

@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from millrace.llm import decontamination
@@ -51,6 +54,23 @@ def test_masks():
     assert all(len(m) == decontamination.SPAN and m.count("1") == 8 for m in decontamination.MASKS)
 
 
+@pytest.mark.parametrize("n", range(5, 25))
+def test_every_placement_of_allowed_changes_is_found(n):
+    rng = random.Random(n)
+    item = [f"x{i}" for i in range(n)]
+    changed = n - math.ceil(decontamination.AGREE * n)
+    texts = []
+    for places in itertools.combinations(range(n), changed):
+        texts.append(" ".join(["before", *("sub" if i in places else w for i, w in enumerate(item)), "after"]))
+    texts += [" ".join("sub" if i in places else w for i, w in enumerate(item)) for places in (rng.sample(range(n), changed + 1) for _ in range(20))]
+    block = [(1, " ".join(item))]
+    run = decontamination._append(block, "overlaps", decontamination.MASKS + decontamination.COMPLETING, decontamination.STRETCH, decontamination.AGREE)
+    found = [bool(x) for b in run([pa.RecordBatch.from_pydict({"text": texts})]) for x in b.column("overlaps").to_pylist()]
+    assert found == [True] * (len(texts) - 20) + [False] * 20
+    for i in rng.sample(range(len(texts)), min(len(texts), 30)):
+        assert found[i] == bool(brute(texts[i], block))
+
+
 def test_keep_and_hostile_rows(spark):
     _, benchmark = _case(spark)
     docs = documents(spark, extra=True)
