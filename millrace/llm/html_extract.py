@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-1. Each page's tree of block elements is read by one pass over its tags; text runs are leaves. What lies inside an article (or main)
-   element is one node here: it is content whatever it says.
+1. Each page's tree of block elements is read by one pass over its tags; text runs are leaves, inside an article (or main)
+   element too.
 2. Pages of one host share a wrapper. The host's page of smallest id is the reference, to which every other page is aligned by simple
    tree matching (the largest number of equal nodes in order, children by dynamic programming). Leaves aligned with one reference node
    vote with their text; one text with ``SHARE`` of the votes, from ``LEAST_PAGES`` pages that differ (in their articles, where they have any), makes the node
-   constant: template. Votes are counted by partial aggregation, so a host may have any share of all pages.
+   constant: template. A leaf inside an article counts by stories
+   instead: a page's story is the longest other leaf of its article, and a text at one node is constant if it stands beside SHARE of all
+   stories of the host, and LEAST_PAGES of them. So stories that are repeated, with changes or without, are no template.
+   Votes are counted by partial aggregation, so a host may have any share of all pages.
 3. Extraction: leaves in elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are left
-   out, by tag or by class and id words. If the page has an article (or main) with text, the text is that; otherwise it is every varying slot.
+   out, by tag or by class and id words. If the page has an article (or main) with text, the text is that; otherwise that of the page; of either, the varying slots.
    A host's template is a set of 64-bit keys of (path, text); hosts with one are joined by broadcast up to BROADCAST_ROWS keys.
 
 Null and empty pages: empty text. Null urls and urls without a host have no wrapper. Repeated pages vote once each and get a row each; ties for
@@ -148,15 +151,14 @@ def _hash(text: str) -> int:
 
 
 def skeleton(root: Node) -> list[tuple[int, str, int]]:
-    """(depth, label, key) of the nodes in order; a leaf's key is the hash of its path and text; an article is one node without key."""
+    """(depth, label, key) of the nodes in order; a leaf's key is the hash of its path and text."""
     out = []
     stack = [(root, 0, "")]
     while stack:
         node, depth, path = stack.pop()
         path = f"{path}/{node.label}"
         out.append((depth, node.label, _hash(f"{path} {node.text}") if node.text is not None else 0))
-        if node.tag not in MAIN:
-            stack.extend((c, depth + 1, path) for c in reversed(node.children))
+        stack.extend((c, depth + 1, path) for c in reversed(node.children))
     return out
 
 
@@ -236,38 +238,62 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     """The text of a page under its host's template."""
     _, leaves = parse(page)
     kept = [x for x in leaves if not x.dropped]
-    inside = [x.text for x in kept if x.main]
-    return "\n\n".join(inside or [x.text for x in kept if not template or leaf_key(x) not in template])
+    kept = [x for x in kept if x.main] or kept
+    return "\n\n".join(x.text for x in kept if not template or leaf_key(x) not in template)
+
+
+def stories(leaves: list[Node]) -> tuple[int | None, int | None, int | None]:
+    """Of the longest leaf of an article: the hash of its text, and its key; and the hash of the next longest text."""
+    inside = sorted({x.text: x for x in leaves if x.main and not x.dropped}.values(), key=lambda x: (-len(x.text), x.text))[:2]
+    first, second = [*inside, None, None][:2]
+    return first and _hash(first.text), first and leaf_key(first), second and _hash(second.text)
+
+
+def inside_main(nodes: list[tuple[int, str, int]]) -> list[bool]:
+    """Which nodes of a skeleton lie inside an article or main element."""
+    out, depth_of_main = [], None
+    for depth, label, _ in nodes:
+        if depth_of_main is not None and depth <= depth_of_main:
+            depth_of_main = None
+        out.append(depth_of_main is not None)
+        if depth_of_main is None and label.split(".", 1)[0] in MAIN:
+            depth_of_main = depth
+    return out
 
 
-_SKELETON = "page_id long, url string, host string, nodes array<struct<depth:int,label:string,key:long>>, article long"
+_SKELETON = "page_id long, url string, host string, nodes array<struct<depth:int,label:string,key:long>>, article long, story long, story_key long, other_story long"
 _NODES = pa.list_(pa.struct([("depth", pa.int32()), ("label", pa.string()), ("key", pa.int64())]))
 
 
 def _skeletons(batches):
     for b in text_chunks(batches, "html"):
-        nodes, articles = [], []
+        nodes, articles, told = [], [], []
         for page in b.column("html").to_pylist():
             root, leaves = parse(page or "")
             nodes.append([{"depth": d, "label": x, "key": k} for d, x, k in skeleton(root)])
             articles.append(_hash("\n".join([x.text for x in leaves if x.main] or [x.text for x in leaves])))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(nodes, _NODES), pa.array(articles, pa.int64())], names=["page_id", "url", "host", "nodes", "article"])
+            told.append(stories(leaves))
+        columns = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(nodes, _NODES), pa.array(articles, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*told, strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "nodes", "article", "story", "story_key", "other_story"])
 
 
 def _votes(batches):
-    """host, reference node, key, article of every aligned leaf."""
+    """host, reference node, key, article of every aligned leaf; inside an article, the story beside it."""
     known: dict = {}
     for b in batches:
         out = []
-        for host, nodes, reference, article in zip(*(b.column(c).to_pylist() for c in ("host", "nodes", "reference", "article")), strict=True):
+        columns = ("host", "nodes", "reference", "article", "story", "story_key", "other_story")
+        for host, nodes, reference, article, story, story_key, other in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
             page = [tuple(n.values()) for n in nodes]
             if known.get("host") != host:
                 known = {"host": host, "tree": [tuple(n.values()) for n in reference]}
+            inside = inside_main(page)
             for i, j in align(page, known["tree"]).items():
-                if page[i][2]:
-                    out.append((host, j, page[i][2], article))
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "key", "article"])
+                if key := page[i][2]:
+                    out.append((host, j, key, article, inside[i], (other if key == story_key else story) if inside[i] else None))
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "node", "key", "article", "inside", "story"])
 
 
 def wrappers(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
@@ -276,11 +302,14 @@ def wrappers(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -
     rows = pages.select("page_id", "url", host.alias("host"), "html").where("host <> ''")
     trees = stored(rows.mapInArrow(_skeletons, _SKELETON), "skeletons")
     references = trees.groupBy("host").agg(F.min_by("nodes", F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("reference"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    votes = trees.select("host", "nodes", "article").join(references, "host").mapInArrow(_votes, "host string, node int, key long, article long")
+    votes = trees.drop("page_id", "url").join(references, "host").mapInArrow(_votes, "host string, node int, key long, article long, inside boolean, story long")
     # A key's voters are told apart by their article; a few hundred fingerprints of them are enough to know that they differ.
-    counted = votes.groupBy("host", "node", "key").agg(F.count("*").alias("n"), F.approx_count_distinct("article").alias("articles"))
+    counted = votes.groupBy("host", "node", "key").agg(F.count("*").alias("n"), F.approx_count_distinct("article").alias("articles"), F.max("inside").alias("inside"), F.approx_count_distinct("story").alias("stories"))
     total = F.sum("n").over(Window.partitionBy("host", "node"))
-    constant = counted.withColumn("total", total).where((F.col("n") >= F.col("total") * share) & (F.col("n") >= least) & (F.col("articles") >= least))
+    constant = counted.where("not inside").withColumn("total", total).where((F.col("n") >= F.col("total") * share) & (F.col("n") >= least) & (F.col("articles") >= least))
+    told = trees.groupBy("host").agg(F.approx_count_distinct("story").alias("told"))
+    repeated = counted.where(F.col("inside") & (F.col("stories") >= least)).join(told, "host").where(F.col("stories") >= F.col("told") * share)
+    constant = constant.select("host", "key").unionByName(repeated.select("host", "key"))
     return constant.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("template"))
 
 

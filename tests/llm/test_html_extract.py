@@ -47,5 +47,16 @@ def test_repeated_articles_are_not_template(spark):
     assert {r.text for r in html_extract.extract(pages).collect()} == {"The same story"}
 
 
+def test_template_inside_articles_is_left_out(spark):
+    page = "<body><article><h1>{v}</h1><p>Story {v} first, told at some length</p><div>Read more of us every day</div><p>Story {v} second</p></article></body>"
+    same = "<body><article><p>One story that many pages tell again</p><p>Its second paragraph stays too</p><p>Seen {v}</p></article></body>"
+    rows = [(i, f"https://a.example.com/{i}", page.format(v=i)) for i in range(6)] + [(10 + i, f"https://b.example.com/{i}", same.format(v=i)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    for i in range(6):
+        assert got[i] == f"{i}\n\nStory {i} first, told at some length\n\nStory {i} second"
+        assert got[10 + i] == f"One story that many pages tell again\n\nIts second paragraph stays too\n\nSeen {i}"
+
+
 def test_empty_table(spark):
     assert pairs(html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")), "page_id") == []
