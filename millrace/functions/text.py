@@ -1,9 +1,15 @@
 """Text functions: Column to Column, no UDFs."""
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+#: What counts as white space.
+_BLANKS = r"[\s\p{Z}\x{85}]+"
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_NAMES = json.dumps({n: chr(c) for n, c in (*name2codepoint.items(), ("apos", 39))})
 
 
 def blank_to_null(x: Column) -> Column:
@@ -11,15 +17,26 @@ def blank_to_null(x: Column) -> Column:
 
 
 def unescape(x: Column) -> Column:
-    """Named references of XML and the commonest of HTML; ``&amp;`` last, so nothing is decoded twice."""
-    for name, char in _ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Character references (numeric ones, and the named ones of HTML 4) decoded, each once; unknown names stay."""
+
+    def decoded(piece: Column) -> Column:
+        name = F.substring(piece, F.lit(2), F.char_length(piece) - 2)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).try_cast("int")
+        number = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        known = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), name)
+        return F.when(~piece.rlike(f"^{_REFERENCE}$"), piece).when(name.startswith("#"), number).otherwise(F.coalesce(known, piece))
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0)), decoded), "")
+
+
+def one_line(x: Column) -> Column:
+    """Runs of white space as one blank, ends trimmed."""
+    return F.trim(F.regexp_replace(x, _BLANKS, " "))
 
 
 def clean(x: Column) -> Column:
     """References decoded, tags and repeated blanks out, ends trimmed; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(unescape(x), "<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+    return F.nullif(one_line(F.regexp_replace(unescape(x), "<[^>]+>", " ")), F.lit(""))
 
 
 def html_text(x: Column) -> Column:
@@ -33,16 +50,14 @@ def lines(x: Column) -> Column:
 
 
 def first_sentence(x: Column, longest: int = 240) -> Column:
-    """Up to the first mark that ends a sentence, or the first line, cut to ``longest``."""
-    line = F.regexp_extract(x, r"^[^\r\n]*", 0)
-    sentence = F.regexp_extract(line, r"^[^.!?]*[.!?]", 0)
-    return F.rtrim(F.substring(F.when(sentence != "", sentence).otherwise(line), 1, longest))
+    """The cleaned text up to the first ``.``, ``!`` or ``?`` that white space follows, cut to ``longest``."""
+    return F.rtrim(F.substring(F.get(F.split(clean(x), r"(?<=[.!?])\s+", 2), F.lit(0)), 1, longest))
 
 
 def clip(x: Column, n: int) -> Column:
     """Trimmed, on one line, and no longer than ``n`` with its dots."""
-    one = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(F.char_length(one) > n, F.concat(F.rtrim(F.substring(one, 1, n - 3)), F.lit("..."))).otherwise(one)
+    one = F.replace(F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit("\n"), F.lit(" "))
+    return F.when(F.char_length(one) > n, F.concat(F.substring(one, 1, n - 3), F.lit("..."))).otherwise(one)
 
 
 def clip_display(x: Column, n: int) -> Column:
@@ -58,23 +73,33 @@ def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= 2))
 
 
-#: Words of a request that say nothing about its subject, for each kind of catalogue.
-DATASET_STOP = ("api", "apis", "openapi", "추천", "추천해줘", "알려줘", "찾아줘")
-API_STOP = ("data", "dataset", "datasets", "추천", "추천해줘", "알려줘", "찾아줘")
+#: Words of a request that say nothing about its subject, for each kind of catalogue, and pieces of such words for both.
+DATASET_STOP = ("openapi", "open_api", "api", "apis", "오픈api", "오픈_api", "오픈")
+API_STOP = ("데이터셋", "dataset", "datasets", "data_set")
+REQUEST_NOISE = ("추천", "프로젝트", "만들", "원해", "원하는", "원하는데", "싶", "해줘", "해주세요", "알려")
+
 
+def query_terms(words: Column, stop: tuple[str, ...], api_words: bool = False) -> Column:
+    """The words without ``stop`` and request noise (with ``api_words``, also without those that name APIs); all of them if none is left."""
 
-def query_terms(words: Column, stop: tuple[str, ...]) -> Column:
-    """The words without ``stop``; all of them if none is left."""
-    kept = F.filter(words, lambda w: ~w.isin(*stop))
+    def says_something(w: Column) -> Column:
+        keep = ~w.isin(*stop) & ~w.rlike("|".join(REQUEST_NOISE))
+        return keep & ~w.endswith("api") & ~w.startswith("openapi") if api_words else keep
+
+    kept = F.filter(words, says_something)
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
+#: How internal ids and source codes are written in explanations.
+_IDS = r"(?i)(?:^|[^0-9A-Za-z가-힣])(?:dataset|openapi)[_\s-]*id\s*[:=]?\s*[0-9]+(?:\s*\(\s*[0-9]{4}\s*[~-]\s*[0-9]{4}\s*\))?(?=$|[^0-9A-Za-z가-힣])"
+_SOURCES = r"(?i)(?:^|[^0-9A-Za-z])(?:src|source|source_code)\s*[:=]\s*[^;,\n]+"
+
+
 def sanitize_identifiers(x: Column) -> Column:
-    """Without ids such as ``datasetId=12`` or ``(id: 7)``, source codes, and the brackets that they leave empty."""
-    x = F.regexp_replace(x, r"(?i)\b(dataset|openapi|api|resource)[_ ]?ids?\s*[=:#]?\s*[0-9]+", "")
-    x = F.regexp_replace(x, r"(?i)\bid\s*[=:#]\s*[0-9]+", "")
-    x = F.regexp_replace(x, r"\(\s*\)|\[\s*\]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"^[ \-;,:\n]+|[ \-;,:\n]+$", ""), r"[ \t]+", " "))
+    """Without ids such as ``datasetId=12``, source codes, and the brackets that they leave empty."""
+    for pattern, to in ((_IDS, ""), (_SOURCES, ""), (r"\(\s*\)", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^[ \-;,:\n]+|[ \-;,:\n]+$", "")):
+        x = F.regexp_replace(x, pattern, to)
+    return x
 
 
 def strip_markdown(x: Column) -> Column:
@@ -87,28 +112,38 @@ def strip_markdown(x: Column) -> Column:
     return F.trim(x)
 
 
-def sentences(x: Column, least: int = 6) -> Column:
-    """Sentences of ``least`` characters or more."""
-    parts = F.split(F.regexp_replace(x, r"([.!?])\s+", "$1\n"), r"\n+")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.char_length(s) >= least)
+def sentences(x: Column, least: int = 1) -> Column:
+    """Sentences and lines of ``least`` characters or more; the whole text if none is as long."""
+    parts = F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+|\n+"), one_line), lambda s: s != "")
+    long = F.filter(parts, lambda s: F.char_length(s) >= least)
+    return F.when(F.size(long) > 0, long).when(one_line(x) != "", F.array(x)).otherwise(F.array().cast("array<string>"))
 
 
-def paragraphs(x: Column, per: int = 2) -> Column:
+def pairs_of_sentences(all_: Column, per: int = 2) -> Column:
     """Sentences, ``per`` to a paragraph, with an empty line between."""
-    all_ = sentences(x)
     starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(per))).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.transform(starts, lambda i: F.array_join(F.slice(all_, i, F.lit(per)), " ")), "\n\n")
 
 
-def split_long(x: Column, longest: int = 220, reach: int = 60) -> Column:
-    """Two lines, cut at the last blank before or the first after the middle, for texts above ``longest``."""
+def paragraphs(x: Column, per: int = 2) -> Column:
+    """The text's sentences, ``per`` to a paragraph."""
+    return pairs_of_sentences(sentences(x), per)
+
+
+def split_long(x: Column, longest: int = 220, reach: int = 60, at_sentence: bool = False) -> Column:
+    """Two paragraphs for texts above ``longest``: cut at the last blank within ``reach`` of the middle, or, if asked, after the first sentence."""
     middle = F.floor(F.char_length(x) / 2).cast("int")
-    left = F.substring(x, F.lit(1), middle)
-    back = F.instr(F.reverse(left), " ")
-    ahead = F.instr(F.substring(x, middle + 1, F.lit(reach)), " ")
-    at = F.when((back > 0) & (back <= reach), middle - back + 1).when(ahead > 0, middle + ahead)
-    parted = F.concat(F.rtrim(F.substring(x, F.lit(1), at)), F.lit("\n"), F.ltrim(F.substring(x, at + 1, F.char_length(x))))
-    return F.when((F.char_length(x) > longest) & at.isNotNull(), parted).otherwise(x)
+    low = F.greatest(middle - reach, F.lit(0))
+    some = F.substring(x, low + 1, F.least(middle + reach, F.char_length(x)) - low)
+    back = F.instr(F.reverse(some), " ")
+    at = F.when(back > 0, low + F.char_length(some) - back)
+    left, right = F.trim(F.substring(x, F.lit(1), at)), F.trim(F.substring(x, at + 2, F.char_length(x)))
+    out = F.when((at > 0) & (left != "") & (right != ""), F.concat(left, F.lit("\n\n"), right)).otherwise(x)
+    if at_sentence:
+        halves = F.split(x, r"(?<=[.?!])\s+", 2)
+        first, rest = F.trim(F.get(halves, F.lit(0))), F.trim(F.get(halves, F.lit(1)))
+        out = F.when((first != "") & (rest != ""), F.concat(first, F.lit("\n\n"), rest)).otherwise(out)
+    return F.when(F.char_length(x) > longest, out).otherwise(x)
 
 
 def hangul_ratio(x: Column) -> Column:
@@ -118,18 +153,55 @@ def hangul_ratio(x: Column) -> Column:
     return F.when(letters > 0, hangul / letters).otherwise(F.lit(0.0))
 
 
-def merged_text_code(x: Column, least: int = 40, longest: int = 1500, ratio: float = 0.45) -> Column:
-    """Why a merged explanation is not fit to show, or null."""
-    plain = strip_markdown(x)
-    return (
-        F.when(plain.isNull() | (plain == ""), "EMPTY")
-        .when(F.char_length(plain) < least, "TOO_SHORT")
-        .when(F.char_length(plain) > longest, "TOO_LONG")
-        .when(x.rlike(r"(?i)\b(dataset|openapi)[_ ]?id\b"), "LEAKS_ID")
-        .when(x.rlike(r"^\s*[\[{]"), "JSON_LIKE")
-        .when(F.size(sentences(plain)) < 2, "ONE_SENTENCE")
-        .when(hangul_ratio(plain) < ratio, "NOT_KOREAN")
+#: How many sentences a merged explanation has, and how Korean it is.
+MERGED_SENTENCES = (4, 12)
+MERGED_HANGUL = 0.45
+
+
+def plain_of_markdown(x: Column) -> Column:
+    """What a validator reads of light markdown: fences, tags, images, marks of headings, bullets and emphasis gone."""
+    for pattern, to in (
+        (r"(?s)```.*?```", " "), (r"(?s)~~~.*?~~~", " "), (r"</?[a-zA-Z][^>]*>", " "), (r"`([^`]*)`", "$1"), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+        (r"(?:^|\n)\s{0,3}#{1,6}\s*", " "), (r"(?:^|\n)\s*(?:[-*+] |[0-9]+\.\s+)", " "), (r"[*_~>]", " "),
+    ):
+        x = F.regexp_replace(x, pattern, to)
+    return one_line(x)
+
+
+def merged_text_code(shown: Column, raw: Column, dataset: bool = True, openapi: bool = True) -> Column:
+    """Why a merged explanation (as shown, and as the model gave it) is not fit to show, or null."""
+    plain = plain_of_markdown(shown)
+    n = F.size(sentences(plain, 6))
+    code = (
+        F.when(F.coalesce(shown, F.lit("")) == "", "empty")
+        .when(raw.contains("```") | raw.contains("~~~"), "markdown_code_block")
+        .when(raw.rlike(r"</?[a-zA-Z][^>]*>"), "html_tag")
+        .when(n < MERGED_SENTENCES[0], "too_short")
+        .when(n > MERGED_SENTENCES[1], "too_long")
+        .when(hangul_ratio(plain) < MERGED_HANGUL, "low_korean_ratio")
     )
+    if dataset:
+        code = code.when(~plain.contains("데이터"), "missing_dataset_perspective")
+    if openapi:
+        code = code.when(~F.lower(plain).contains("api"), "missing_openapi_perspective")
+    return code
+
+
+#: A navigation line of project pages, and its labels.
+_NAVIGATION = r"(?i)(?:📑\s*)?paper\s*\|\s*(?:🌐\s*)?project\s*page\s*\|\s*(?:💾\s*)?released\s*resources\s*\|\s*(?:📦\s*)?repo"
+_NAVIGATION_LABELS = ("paper", "project page", "released resources", "repo")
+
+
+def is_navigation(x: Column) -> Column:
+    """Whether a text is a project page's navigation: its line, or three of its labels and a bar."""
+    hits = sum((F.lower(x).contains(w).cast("int") for w in _NAVIGATION_LABELS), F.lit(0))
+    return x.rlike(_NAVIGATION) | (x.contains("|") & (hits >= 3))
+
+
+def without_navigation(x: Column) -> Column:
+    """The cleaned text without navigation lines; null if it is nothing else."""
+    rest = clean(F.regexp_replace(x, _NAVIGATION, " "))
+    return F.when(~is_navigation(rest), rest)
 
 
 def uuid_of(x: Column) -> Column:
@@ -137,7 +209,8 @@ def uuid_of(x: Column) -> Column:
 
 
 def hashtags(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(x, F.lit("#([0-9A-Za-z가-힣_]+)"), F.lit(1)))
+    """What follows each ``#``, up to the next one."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"#([^#\s]+(?:\s+[^#\s]+)*)"), F.lit(1)), clean), lambda t: t.isNotNull()))
 
 
 def split_keywords(x: Column) -> Column:
@@ -146,6 +219,12 @@ def split_keywords(x: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
+def split_terms(x: Column) -> Column:
+    """At ``,``, ``|``, ``;``, ``/``, newlines and tabs; at `` - `` if there is none of them."""
+    parts = F.split(x, r"[,|;/\n\t]+")
+    return F.coalesce(F.filter(F.transform(F.when(F.size(parts) > 1, parts).otherwise(F.split(x, " - ")), lambda p: F.trim(p)), lambda p: p != ""), F.array().cast("array<string>"))
+
+
 def prefixed(tags: Column, prefix: str) -> Column:
     """What follows ``prefix`` in the tags that start with it."""
     return F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit(prefix))), lambda t: F.substring(t, F.lit(len(prefix) + 1), F.char_length(t)))
@@ -184,4 +263,17 @@ def labelled_values(x: Column, labels: list[str]) -> Column:
 
 
 def error_text(x: Column, longest: int = 360) -> Column:
-    return clip(F.regexp_replace(x, r"(?i)(bearer\s+|api[_-]?key\s*[=:]\s*|token\s*[=:]\s*)[^\s\"',]+", "$1***"), longest)
+    """On one line, without secrets, clipped; null if blank."""
+    one = one_line(F.regexp_replace(x, r"(?i)(bearer\s+|api[_-]?key\s*[=:]\s*|token\s*[=:]\s*)[^\s\"',]+", "$1***"))
+    return F.nullif(F.when(F.char_length(one) > longest, F.concat(F.substring(one, 1, longest - 3), F.lit("..."))).otherwise(one), F.lit(""))
+
+
+def failure_summary(dataset: Column, openapi: Column) -> Column:
+    """What failed, of both kinds, in one clipped text."""
+    parts = F.concat_ws(" | ", F.concat(F.lit("dataset="), blank_to_null(dataset)), F.concat(F.lit("openapi="), blank_to_null(openapi)))
+    return F.when(parts == "", "추천 생성 중 오류가 발생했습니다.").otherwise(error_text(parts))
+
+
+def cut(x: Column, longest: int) -> Column:
+    """The first ``longest`` characters, without a mark that there were more."""
+    return F.substring(x, 1, longest)

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays, text
 
 #: What stands for "nothing" in sources.
-PLACEHOLDERS = ("-", "--", "n/a", "na", "none", "null", "unknown", "없음", "미정", "해당없음")
+PLACEHOLDERS = ("-", "--", "없음", "해당없음", "n/a", "na", "none", "null")
+#: What stands for a title or a description, and hints of spam and of project pages.
+EMPTY_TEXTS = (
+    "test", "tests", "todo", "tbd", "dummy", "none", "null", "n/a", "na", "sample", "temp", "tmp", "desc", "description", "dataset", "unknown", "undefined", "no description found",
+    "not applicable", "{{description}}", "nan", "title", "data", "untitled", "new", "wip", "update", "refer image",
+)
+SPAM = ("reviews", "gummies", "buy now", "affiliate", "facebook.com/share", "omeka.net", "nas.io")
+PROMO = ("paper", "project page", "released resources", "repo", "code", "website", "model card")
 
 
 def meaningful(x: Column) -> Column:
@@ -36,33 +43,49 @@ def pick(df: DataFrame, *aliases: str) -> Column:
     return first_non_empty(*found) if found else F.lit(None).cast("string")
 
 
+def _empty_of_sense(t: Column) -> Column:
+    """What neither a title nor a description may be: a placeholder, marks, one url, an unfilled template, a slug, broken characters."""
+    return F.lower(t).isin(*EMPTY_TEXTS) | t.rlike(r"^[^\p{L}\p{N}]+$") | t.rlike(r"(?i)^https?://\S+$") | (t.contains("{{") & t.contains("}}")) | t.rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$") | t.contains("\ufffd")
+
+
 def bad_title(x: Column) -> Column:
     """Titles that cannot name a data set."""
-    t = F.trim(x)
-    return F.coalesce(
-        (F.char_length(t) < 3) | (F.char_length(t) > 300) | F.lower(t).isin(*PLACEHOLDERS, "test", "untitled", "dataset") | t.rlike(r"^https?://[^ ]+$") | t.rlike("^[0-9]+$")
-        | t.rlike("^[^0-9A-Za-z가-힣À-ÿ]+$") | t.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-        F.lit(True),
-    )
+    t = text.clean(x)
+    n, letters = F.char_length(t), t.rlike("[A-Za-z가-힣]")
+    return F.coalesce(_empty_of_sense(t) | (n <= 2) | ((n <= 8) & ~t.contains(" ")) | t.rlike(r"^(.)\1{2,}$") | (~letters & (n <= 20)), F.lit(True))
 
 
 def bad_description(x: Column) -> Column:
-    """Descriptions that say nothing: placeholders, spam, mostly urls, text without letters."""
-    t = F.trim(x)
-    urls = F.regexp_count(t, F.lit("https?://"))
+    """Descriptions that say nothing: placeholders, few words, mostly urls, spam, navigation, no letters."""
+    t = text.clean(x)
+    n, lower, urls = F.char_length(t), F.lower(t), F.regexp_count(t, F.lit(r"(?i)https?://\S+"))
     return F.coalesce(
-        (F.char_length(t) < 10) | F.lower(t).isin(*PLACEHOLDERS) | (urls > 5) | ((urls > 0) & (F.char_length(F.regexp_replace(t, "https?://[^ ]+", "")) < 10))
-        | F.lower(t).rlike("(casino|viagra|free money|click here)") | ~t.rlike("[A-Za-z가-힣]"),
+        _empty_of_sense(t) | (n <= 5) | ((n <= 30) & (F.size(F.split(t, " ")) <= 3)) | ((urls >= 2) & (n <= 220)) | ((urls >= 1) & (n <= 120)) | lower.rlike("|".join(w.replace(".", "[.]") for w in SPAM))
+        | (lower.rlike("|".join(PROMO)) & t.contains("|")) | lower.startswith("see the full description on the dataset page") | (~t.rlike("[A-Za-z가-힣]") & (n <= 80)),
         F.lit(True),
     )
 
 
+def bad_record(title: Column, short: Column, long: Column, source: Column, exempt: tuple[str, ...] = ("PUBLIC_DATA_PORTAL",)) -> Column:
+    """Records that are not taken: a bad title or description, but for sources that are taken whole."""
+    return ~F.coalesce(source.isin(*exempt), F.lit(False)) & (bad_title(title) | bad_description(F.coalesce(text.clean(long), text.clean(short))))
+
+
 def presence(**fields: Column) -> Column:
     """map of field to whether it has content."""
     pairs = [p for n, c in fields.items() for p in (F.lit(n), F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)))]
     return F.create_map(*pairs)
 
 
+def field_presence(scalars: dict[str, Column], lists: dict[str, Column], objects: dict[str, Column]) -> Column:
+    """struct(has, array_lengths, json_key_counts) of a record: scalars by content, arrays by length, JSON objects by number of keys."""
+    lengths = {n: F.coalesce(F.size(c), F.lit(0)) for n, c in lists.items()}
+    keys = {n: F.coalesce(F.size(F.json_object_keys(c)), F.lit(0)) for n, c in objects.items()}
+    has = {n: F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)) for n, c in scalars.items()} | {n: c > 0 for n, c in (lengths | keys).items()}
+    made = {k: F.create_map(*(x for n, c in m.items() for x in (F.lit(n), c))) if m else F.create_map().cast("map<string,int>") for k, m in (("has", has), ("array_lengths", lengths), ("json_key_counts", keys))}
+    return F.struct(*(c.alias(k) for k, c in made.items()))
+
+
 def record_hash(**fields: Column) -> Column:
     """sha256 of the record as JSON with sorted keys, empty fields left out."""
     return F.sha2(F.to_json(F.struct(*(text.blank_to_null(fields[n].cast("string")).alias(n) for n in sorted(fields)))), 256)

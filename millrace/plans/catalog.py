@@ -1,4 +1,4 @@
 """Every query of the library by name, with the SQL that checks it."""
 
-from millrace.plans import listings, relational, retrieval, runs, texts  # noqa: F401
+from millrace.plans import listings, records, relational, retrieval, runs, texts  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES  # noqa: F401

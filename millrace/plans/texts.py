@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import arrays, dates, nested, numbers, text
 from millrace.operators import conversation, ingest, tables
 from millrace.plans.registry import query
+from millrace.plans.sql import any_of, clean
 from millrace.session import table
 
 
@@ -19,8 +20,8 @@ def history_char_budget(spark, sf_dir):
 
 
 @query(r"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations)
-SELECT conv_id, string_agg(upper(role) || ': ' || CASE WHEN length(t) > 60 THEN rtrim(substr(t, 1, 57)) || '...' ELSE t END, chr(10) ORDER BY turn) AS prompt FROM r WHERE n <= 3 GROUP BY conv_id""")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, replace(regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(10), ' ') AS t FROM conversations)
+SELECT conv_id, string_agg(upper(role) || ': ' || CASE WHEN length(t) > 60 THEN substr(t, 1, 57) || '...' ELSE t END, chr(10) ORDER BY turn) AS prompt FROM r WHERE n <= 3 GROUP BY conv_id""")
 def last_n_turns(spark, sf_dir):
     """The last three turns as a prompt."""
     return conversation.last_turns(table(spark, sf_dir, "conversations"), 3, 60)
@@ -32,26 +33,17 @@ def next_turn_order(spark, sf_dir):
     return conversation.next_turn(table(spark, sf_dir, "conversations"))
 
 
-@query(r"""
-SELECT doc_id, length(trim(text)) < 10 OR len(regexp_extract_all(text, 'https?://')) > 5 OR NOT regexp_matches(text, '[A-Za-z가-힣]') OR regexp_matches(lower(text), '(casino|viagra|free money|click here)') AS bad_description,
-       regexp_matches(text, '[가-힣]') AS has_hangul FROM documents""")
-def quality_gate_flags(spark, sf_dir):
-    """Gates that a record has to pass."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", ingest.bad_description(t).alias("bad_description"), t.rlike("[가-힣]").alias("has_hangul"))
-
-
 @query(r"""
 WITH u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS h FROM pages)
-SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM u""")
+SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS body FROM u""")
 def clean_text_html(spark, sf_dir):
     """Pages as plain text."""
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, regexp_extract(text, '^[^\r\n]*') AS line FROM documents)
-SELECT doc_id, rtrim(substr(CASE WHEN regexp_extract(line, '^[^.!?]*[.!?]') <> '' THEN regexp_extract(line, '^[^.!?]*[.!?]') ELSE line END, 1, 240)) AS sentence FROM l""")
+@query(rf"""
+WITH c AS (SELECT doc_id, {clean("text")} AS t FROM documents)
+SELECT doc_id, rtrim(substr(CASE WHEN regexp_matches(t, '[.!?] ') THEN regexp_extract(t, '^(.*?[.!?]) ', 1) ELSE t END, 1, 240)) AS sentence FROM c""")
 def first_sentence(spark, sf_dir):
     """The first sentence, as a short description."""
     return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
@@ -78,10 +70,12 @@ def search_text_build(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", ingest.search_text(F.col("p_name"), F.col("p_type"), F.col("p_brand")).alias("search_text"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-f AS (SELECT doc_id, lower(trim(t)) AS k, min(i) AS i, arg_min(trim(t), i) AS t FROM l WHERE trim(t) <> '' GROUP BY 1, 2),
-n AS (SELECT doc_id, i, t FROM f WHERE NOT (regexp_matches(t, '(?i)^(home|menu|login|sign in|skip to content|더보기|이전|다음)$') OR regexp_matches(t, '^[\[{].*[\]}]$') OR (length(t) > 40 AND contains(t, 'http')) OR contains(t, '�'))),
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, {clean("x")} AS t FROM l),
+f AS (SELECT doc_id, lower(t) AS k, min(i) AS i, arg_min(t, i) AS t FROM c WHERE t IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT doc_id, i, t FROM f WHERE NOT (regexp_matches(t, '{arrays.JUNK_ROWS}') OR {any_of("k", arrays.NOISE_TOKENS)} OR regexp_matches(t, '�.*�') OR (length(t) > 40 AND contains(k, 'http'))
+  OR (contains(t, '|') AND CAST(contains(k, 'paper') AS INT) + CAST(contains(k, 'project page') AS INT) + CAST(contains(k, 'released resources') AS INT) + CAST(contains(k, 'repo') AS INT) >= 3))),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM n)
 SELECT doc_id, string_agg(substr(t, 1, 40), '|' ORDER BY i) AS terms FROM s WHERE n <= 5 GROUP BY doc_id""")
 def term_list_normalize(spark, sf_dir):
@@ -90,42 +84,44 @@ def term_list_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", terms.alias("terms")).where("terms <> ''")
 
 
-_SIZES = (("12", 12), ("1.5 GB", 1500000000), ("3 MiB", 3145728), ("2,048 KB", 2048000), ("7 bytes", 7), ("-5", None), ("big", None), ("1 TiB", 1099511627776))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else b})" for a, b in _SIZES) + ") t(x, bytes)")
+@query("""
+SELECT p_partkey, CAST(CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 + 500 WHEN 2 THEN p_size * 1048576.0 WHEN 3 THEN 48000 WHEN 4 THEN p_size WHEN 5 THEN -p_size END AS BIGINT) AS bytes FROM part""")
 def parse_bytes_units(spark, sf_dir):
-    """Sizes with units."""
-    return spark.createDataFrame([(a,) for a, _ in _SIZES], "x string").select("x", numbers.parse_bytes(F.col("x")).alias("bytes"))
+    """Sizes with units; bare numbers are bytes."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    x = F.when(k % 6 == 0, n).when(k % 6 == 1, F.concat(n, F.lit(".5 kB of text"))).when(k % 6 == 2, F.concat(F.lit("about "), n, F.lit(" MiB"))).when(k % 6 == 3, "2,048 KB").when(k % 6 == 4, F.concat(n, F.lit(" bytes"))).otherwise(F.concat(F.lit("-"), n))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.parse_bytes(x).alias("bytes"))
 
 
 @query("""
-SELECT * FROM (VALUES ('1,234 rows', 1234, 1234.0, NULL), ('yes', NULL, NULL, true), ('없음', NULL, NULL, false), ('-3.75', -3, -3.75, NULL), ('0', 0, 0.0, false)) t(x, as_int, as_float, as_bool)""")
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(floor(o_totalprice) AS BIGINT) WHEN 1 THEN -o_orderkey END AS as_int, CASE o_orderkey % 4 WHEN 0 THEN CAST(floor(o_totalprice) AS DOUBLE) WHEN 1 THEN -o_orderkey - 0.5 END AS as_float,
+  CASE o_orderkey % 8 WHEN 2 THEN true WHEN 3 THEN false WHEN 6 THEN true WHEN 7 THEN false END AS as_bool FROM orders""")
 def parse_bool_int_float(spark, sf_dir):
     """Numbers and booleans from texts."""
-    x = F.col("x")
-    return spark.createDataFrame([("1,234 rows",), ("yes",), ("없음",), ("-3.75",), ("0",)], "x string").select("x", numbers.parse_int(x).cast("int").alias("as_int"), numbers.parse_float(x).alias("as_float"), numbers.parse_bool(x).alias("as_bool"))
+    k = F.col("o_orderkey")
+    x = F.when(k % 4 == 0, F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(" won"))).when(k % 4 == 1, F.concat(F.lit("<b>-"), k.cast("string"), F.lit(".5</b>"))).when(k % 8 == 2, " 무료 ").when(k % 8 == 3, "Private").when(k % 8 == 6, "AVAILABLE").otherwise("없음")
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_int(x).alias("as_int"), numbers.parse_float(x).alias("as_float"), numbers.parse_bool(x).alias("as_bool"))
 
 
 @query("""
-SELECT doc_id, CASE WHEN toxic = 1 THEN 'PAID' WHEN quality = 0 THEN 'APPROVAL' WHEN doc_id % 7 = 0 THEN 'RESTRICTED' WHEN doc_id % 5 = 0 THEN 'UNKNOWN' ELSE 'OPEN' END AS access_type FROM labels""")
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'REGISTERED' WHEN toxic = 1 THEN 'PAID' WHEN quality = 0 THEN 'APPROVAL' WHEN doc_id % 7 = 0 THEN 'RESTRICTED' ELSE 'OPEN' END AS access_type FROM labels""")
 def access_type_precedence(spark, sf_dir):
     """Access type by precedence of flags that may be unknown."""
     login = F.when(F.col("doc_id") % 5 != 0, F.lit(False))
-    kind = numbers.access_type(F.lit(None).cast("string"), F.col("toxic") == 1, F.col("quality") == 0, F.col("doc_id") % 7 == 0, login)
+    stated = F.when(F.col("doc_id") % 11 == 0, "REGISTERED").otherwise("whatever")
+    kind = numbers.access_type(stated, F.col("toxic") == 1, F.col("quality") == 0, F.col("doc_id") % 7 == 0, login)
     return table(spark, sf_dir, "labels").select("doc_id", kind.alias("access_type"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, lower(text) AS t FROM documents WHERE contains(text, 'icense'))
-SELECT doc_id, CASE WHEN regexp_matches(t, 'non[- ]?commercial|\bnc\b|cc[- ]by[- ]nc|no commercial|research only') THEN false
-  WHEN regexp_matches(t, '\bmit\b|apache|\bbsd\b|cc0|public domain|cc[- ]by|creative commons attribution|odbl|\bgpl\b|\blgpl\b') THEN true END AS commercial FROM l""")
+@query(rf"""
+WITH l AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(numbers.LICENSE_DENIES)}') THEN false WHEN regexp_matches(t, '{"|".join(numbers.LICENSE_ALLOWS)}') THEN true END AS commercial FROM l""")
 def license_commercial_use(spark, sf_dir):
     """Commercial use from license lines."""
-    return table(spark, sf_dir, "documents").where(F.col("text").contains("icense")).select("doc_id", numbers.commercial_use(F.col("text")).alias("commercial"))
+    return table(spark, sf_dir, "documents").select("doc_id", numbers.commercial_use(F.col("text")).alias("commercial"))
 
 
-@query("SELECT doc_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(' ' || lower(text) || ' ', '[^0-9a-z]({'|'.join(w)})[^0-9a-z]') THEN '{n}' END" for n, w in numbers.MODALITIES.items()) + "), '') AS modalities FROM documents")
+@query("SELECT doc_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {any_of('lower(text)', w)} THEN '{n}' END" for n, w in numbers.MODALITIES.items()) + "), '') AS modalities FROM documents")
 def modality_inference(spark, sf_dir):
     """Modalities that a text names."""
     return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.array_join(numbers.modalities(F.col("text")), ","), F.lit("")).alias("modalities"))
@@ -150,20 +146,20 @@ def chunk_builder_explode(spark, sf_dir):
     return made.select("doc_id", "chunk_type", "chunk_order", F.char_length("chunk_text").cast("bigint").alias("n_chars"), F.md5("chunk_text").alias("digest"))
 
 
-@query(r"""
-WITH u AS (SELECT page_id, 'datasetId=' || page_id || ' (id: ' || page_id || ') ' || url AS t FROM pages)
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\b(dataset|openapi|api|resource)[_ ]?ids?\s*[=:#]?\s*[0-9]+', '', 'g'), '(?i)\bid\s*[=:#]\s*[0-9]+', '', 'g'), '\(\s*\)|\[\s*\]', '', 'g'), '^[ \-;,:\n]+|[ \-;,:\n]+$', '', 'g'), '[ \t]+', ' ', 'g')) AS shown FROM u""")
+@query("""
+SELECT page_id, 'best' || CASE WHEN page_id % 2 = 0 THEN ' for maps' ELSE '' END || chr(10) || 'ends ' || page_id AS shown FROM pages""")
 def identifier_sanitize(spark, sf_dir):
-    """Explanations without internal ids."""
-    t = F.concat(F.lit("datasetId="), F.col("page_id"), F.lit(" (id: "), F.col("page_id"), F.lit(") "), F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", text.sanitize_identifiers(t).alias("shown"))
+    """Explanations without internal ids and source codes."""
+    k = F.col("page_id").cast("string")
+    period = F.when(F.col("page_id") % 2 == 0, F.lit(" (2019~2021) for maps")).otherwise(F.lit(""))
+    t = F.concat(F.lit("- best dataset_id: "), k, period, F.lit("\n\n\n\nends "), k, F.lit(" ( ) source = KAGGLE, ;"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(text.sanitize_identifiers(t), r"\n+", "\n").alias("shown"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z가-힣]', '', 'g')) > 0 THEN round(length(regexp_replace(text, '[^가-힣]', '', 'g')) / length(regexp_replace(text, '[^A-Za-z가-힣]', '', 'g')), 6) ELSE 0 END AS ratio, true AS refused FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^A-Za-z가-힣]', '', 'g')) > 0 THEN round(length(regexp_replace(text, '[^가-힣]', '', 'g')) / length(regexp_replace(text, '[^A-Za-z가-힣]', '', 'g')), 6) ELSE 0 END AS ratio FROM documents")
 def hangul_ratio_validator(spark, sf_dir):
-    """Share of Hangul among letters, and whether an explanation would be refused."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.hangul_ratio(t), 6).alias("ratio"), text.merged_text_code(t).isNotNull().alias("refused"))
+    """Share of Hangul among letters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.hangul_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @query(r"""
@@ -178,17 +174,10 @@ def near_exact_copy_dedup(spark, sf_dir):
 @query()
 def llm_output_decode(spark, sf_dir):
     """Ranked items out of a model's answers: fences, chatter and trailing commas apart, unknown ids dropped, first of each id kept."""
-    ids = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"))
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     answer = F.concat(F.lit('Here you are:\n```json\n{"items": [{"id": '), F.col("region.r_regionkey") + 1, F.lit(', "rank": 1, "score": 87, "reason": "fits"}, {"id": 999999999, "rank": 2, "score": 0.5, "reason": "made up"},]}\n```'))
     regions = table(spark, sf_dir, "region").alias("region")
     rows = regions.select("r_regionkey", F.posexplode(nested.ranked_items(answer)).alias("position", "item")).select("r_regionkey", "position", "item.*")
     known = rows.join(ids, "id", "left_semi")
     first = tables.latest(known, ["r_regionkey", "id"], F.asc("position"))
     return first.select("r_regionkey", "id", "rank", numbers.unit_score(F.col("score")).alias("score"), "reason")
-
-
-@query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) >= 1000000 THEN 'M' WHEN length(text) >= 1000 THEN regexp_replace(printf('%.1f', round(length(text) / 1000.0, 1)), '\\.0$', '') || 'K' ELSE CAST(length(text) AS VARCHAR) END AS shown FROM documents")
-def compact_numbers(spark, sf_dir):
-    """Numbers as listings show them."""
-    n = F.char_length("text").cast("bigint")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"), numbers.compact_number(n).alias("shown"))
