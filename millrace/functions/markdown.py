@@ -51,20 +51,20 @@ def in_paragraphs(x: Column, at_sentence: bool = False, least: int = 1) -> Colum
 
 def reason(x: Column) -> Column:
     """A ranking's reason, ready to show."""
-    return in_paragraphs(light(_without_fences(F.replace(x, F.lit("\r\n"), F.lit("\n")))))
+    return text.let(light(_without_fences(F.replace(x, F.lit("\r\n"), F.lit("\n")))), lambda y: in_paragraphs(y))
 
 
 def chat(x: Column) -> Column:
     """A chat answer: tables out; lines of plain paragraphs joined."""
     out = light(_without_fences(F.replace(x, F.lit("\r\n"), F.lit("\n"))), without_tables=True)
-    joined = F.regexp_replace(out, r"(?<!\n)\n(?!\n)", " ")
-    return in_paragraphs(F.when(out.rlike(_STRUCTURED), out).otherwise(joined), at_sentence=True)
+    joined = text.let(out, lambda y: F.when(y.rlike(_STRUCTURED), y).otherwise(F.regexp_replace(y, r"(?<!\n)\n(?!\n)", " ")))
+    return text.let(joined, lambda y: in_paragraphs(y, at_sentence=True))
 
 
 def merged(x: Column) -> Column:
     """A merged explanation: ids and source marks out."""
     plain = F.replace(F.replace(text.sanitize_identifiers(x), F.lit("[D]"), F.lit("")), F.lit("[O]"), F.lit(""))
-    return in_paragraphs(light(F.replace(plain, F.lit("\r\n"), F.lit("\n"))), at_sentence=True, least=6)
+    return text.let(light(F.replace(plain, F.lit("\r\n"), F.lit("\n"))), lambda y: in_paragraphs(y, at_sentence=True, least=6))
 
 
 def reason_context(x: Column, lines: int = 20, longest: int = 3600) -> Column:

@@ -65,7 +65,7 @@ def pruned(banned: tuple[str, ...] = ()):
     def run(s: pd.Series) -> pd.Series:
         def one(x):
             try:
-                return json.dumps(_pruned(json.loads(x), names), sort_keys=True, ensure_ascii=False)
+                return json.dumps(_pruned(json.loads(x), names), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
             except (TypeError, ValueError):
                 return None
 
@@ -106,3 +106,18 @@ def first_object(s: pd.Series) -> pd.Series:
 def ranked_items(answer: Column) -> Column:
     """array<struct<id, rank, score, reason>> of a model's answer."""
     return F.from_json(first_object(answer), "struct<items:array<struct<id:bigint,rank:int,score:double,reason:string>>>")["items"]
+
+
+def has_items(j: Column, name: str) -> Column:
+    """Whether a JSON object has a list of that name with something in it."""
+    return F.coalesce(F.json_array_length(get(j, name)) > 0, F.lit(False))
+
+
+def first_number(j: Column, *names: str) -> Column:
+    """The first of several keys that holds a whole number, as a number or as text."""
+    return F.coalesce(*(get(j, n).try_cast("bigint") for n in names))
+
+
+def first_text(j: Column, *names: str) -> Column:
+    """The first of several keys that holds a text which is not blank."""
+    return F.coalesce(*(F.nullif(F.trim(get(j, n)), F.lit("")) for n in names))

@@ -1,6 +1,7 @@
 """Text functions: Column to Column, no UDFs."""
 
 import json
+import re
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -29,6 +30,11 @@ def unescape(x: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0)), decoded), "")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def one_line(x: Column) -> Column:
     """Runs of white space as one blank, ends trimmed."""
     return F.trim(F.regexp_replace(x, _BLANKS, " "))
@@ -253,13 +259,12 @@ def version_suffix(x: Column) -> Column:
 
 
 def labelled_values(x: Column, labels: list[str]) -> Column:
-    """map(label, value) of a text such as ``Title: a Publisher: b``: a value goes on to the next label."""
-    import re
-
-    every = "|".join(re.escape(n) for n in labels)
-    pairs = F.regexp_extract_all(x, F.lit(rf"(?s)(?:{every})\s*:\s*(?:(?!(?:{every})\s*:).)*"), F.lit(0))
-    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, rf"^({every})", 1).alias("key"), F.trim(F.regexp_replace(p, rf"^(?:{every})\s*:\s*", "")).alias("value")))
-    return F.map_from_entries(F.filter(entries, lambda e: F.array_position(F.transform(entries, lambda y: y["key"]), e["key"]) == F.array_position(entries, e)))
+    """map(label, value) of a flattened table: a value goes from its label (and a colon, if any) to the next label; of a label's values the last counts."""
+    every = "|".join(re.escape(n) for n in sorted(labels, key=len, reverse=True))
+    pairs = F.regexp_extract_all(clean(x), F.lit(rf"(?:{every})(?:(?!{every}).)*"), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, rf"^({every})", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, rf"^(?:{every})", ""), r"^[ :]+|[ :]+$", "").alias("value")))
+    filled = F.filter(entries, lambda e: e["value"] != "")
+    return F.map_from_entries(F.filter(filled, lambda e, i: F.get(filled, F.size(filled) - F.array_position(F.transform(F.reverse(filled), lambda y: y["key"]), e["key"]).cast("int")) == F.get(filled, i)))
 
 
 def error_text(x: Column, longest: int = 360) -> Column:

@@ -17,9 +17,10 @@ class Preset:
     stop: tuple[str, ...]
     penalties: tuple[tuple[str, float], ...]
     chunks: int
+    api_words: bool = False
 
 
-DATASETS = Preset(("TITLE_SUMMARY", "DESCRIPTION", "TAGS", "SCHEMA", "ACCESS"), 5, text.DATASET_STOP, (("restricted", 0.035), ("approval", 0.02), ("payment", 0.035)), 50)
+DATASETS = Preset(("TITLE_SUMMARY", "DESCRIPTION", "TAGS", "SCHEMA", "ACCESS"), 5, text.DATASET_STOP, (("restricted", 0.035), ("approval", 0.02), ("payment", 0.035)), 50, api_words=True)
 APIS = Preset(("TITLE_SUMMARY", "DESCRIPTION", "TAGS", "SCHEMA", "RESOURCE", "ACCESS"), 6, text.API_STOP, (("auth", 0.035), ("paid", 0.045)), 200)
 
 #: Weights of the score, the cut on the 0 to 100 scale, and the most candidates.
@@ -47,7 +48,7 @@ def grouped(chunks: DataFrame, preset: Preset) -> DataFrame:
 
 def scored(resources: DataFrame, query_text: str, preset: Preset) -> DataFrame:
     """The score of each resource; ``content`` is compared with the words of the request. Components are rounded before they are weighed again."""
-    words = text.query_terms(text.tokens(F.lit(query_text)), preset.stop)
+    words = text.query_terms(text.tokens(F.lit(query_text)), preset.stop, preset.api_words)
     lexical = F.size(F.array_intersect(words, text.tokens(F.col("content")))) / F.greatest(F.size(words), F.lit(1))
     penalty = F.lit(0.0)
     for flag, cost in preset.penalties:

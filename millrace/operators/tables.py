@@ -46,6 +46,27 @@ def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
+def page_of_blocks(blocks: list[DataFrame], offset: int, size: int, key: str) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of the blocks one after the other, each in the order of ``key``.
+
+    Each block is paged on its own, from its nearer end, so a page at a block's end is a small top-k however long the block is.
+    """
+    out, low, high = None, offset, offset + size
+    for block in blocks:
+        n = block.count()
+        first, last = max(low, 0), min(high, n)
+        if first < last:
+            if first <= n - last:
+                part = block.orderBy(F.asc(key)).limit(last)
+                part = part.offset(first) if first else part
+            else:
+                part = block.orderBy(F.desc(key)).limit(n - first)
+                part = part.offset(n - last) if n > last else part
+            out = part if out is None else out.unionByName(part)
+        low, high = low - n, high - n
+    return blocks[0].limit(0) if out is None else out
+
+
 def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
     """total, pages, has_next of a listing."""
     pages = F.when(F.lit(size) > 0, F.ceil(F.col("total") / F.lit(max(size, 1)))).otherwise(F.lit(1))

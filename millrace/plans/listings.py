@@ -38,7 +38,7 @@ def union_block_paging(spark, sf_dir):
     """The page on which the first block ends and the second begins."""
     first = table(spark, sf_dir, "customer").select(F.lit(0).alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     second = table(spark, sf_dir, "supplier").select(F.lit(1).alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return first.unionByName(second).orderBy("kind", "id").offset(first.count() - 10).limit(20)
+    return tables.page_of_blocks([first, second], first.count() - 10, 20, "id")
 
 
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, 3 + 1 < ceil(count(*) / 20.0) AS has_next FROM orders WHERE o_orderstatus = 'F'")

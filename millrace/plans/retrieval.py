@@ -94,12 +94,11 @@ def vector_l2_normalize(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT vec_id // 5 AS resource_id, ({_TYPES})[vec_id % 5 + 1] AS chunk_type FROM embeddings WHERE label > 2)
+WITH c AS (SELECT vec_id // 5 AS resource_id, ({_TYPES})[vec_id % 5 + 1] AS chunk_type FROM embeddings)
 SELECT resource_id, count(*) AS n_chunks, least(1.0, count(DISTINCT chunk_type) / 5.0) AS coverage FROM c GROUP BY resource_id""")
 def chunk_group_coverage(spark, sf_dir):
-    """Share of chunk types that each resource has, over chunks of some labels."""
-    rows = chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").where("label > 2").select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
-    return rows.groupBy("resource_id").agg(F.count("*").alias("n_chunks"), F.least(F.lit(1.0), F.size(F.collect_set("chunk_type")) / 5).alias("coverage"))
+    """Share of chunk types that each resource has."""
+    return chunks(spark, sf_dir).groupBy("resource_id").agg(F.count("*").alias("n_chunks"), F.least(F.lit(1.0), F.size(F.collect_set("chunk_type")) / 5).alias("coverage"))
 
 
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^0-9a-z가-힣 \t\r\n]', ' ', 'g'), '[ \t\r\n]+'), lambda w: length(w) >= 2))"

@@ -9,6 +9,10 @@ from millrace.plans.registry import query
 from millrace.session import table
 
 
+#: The states of the log.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 def _latest(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     return tables.latest(rows, ["user_id"], F.col("ts").desc_nulls_last(), F.col("event_id").desc())
@@ -42,33 +46,36 @@ def source_inventory_filtered_aggs(spark, sf_dir):
 def runs_last_24h_by_status(spark, sf_dir):
     """Runs of the last day before ``as_of`` (the newest event)."""
     e = table(spark, sf_dir, "events")
-    as_of = e.agg(F.max("ts").alias("t")).first().t
-    return e.where(F.col("ts") >= F.lit(as_of) - F.expr("interval 24 hours")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    as_of = F.broadcast(e.agg(F.max("ts").alias("as_of")))  # one row
+    return e.join(as_of, F.col("ts") >= F.col("as_of") - F.expr("interval 24 hours")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""
-WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM events), s AS (SELECT DISTINCT event_type AS state FROM events)
+WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS n FROM events), s AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS state)
 SELECT user_id, state, CAST(CASE WHEN event_type = state THEN 1 ELSE 0 END AS DOUBLE) AS value FROM r, s WHERE n = 1""")
 def latest_status_one_hot(spark, sf_dir):
     """Latest status as one number for each state of the (closed, small) vocabulary."""
-    states = tuple(sorted(r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()))
-    return metrics.one_hot(_latest(spark, sf_dir), "user_id", "event_type", states)
+    return metrics.one_hot(_latest(spark, sf_dir), "user_id", "event_type", EVENT_TYPES)
 
 
 @query("SELECT user_id, round(greatest(0, (epoch((SELECT max(ts) FROM events)) - epoch(max(ts))) / 3600), 4) AS hours FROM events GROUP BY user_id")
 def hours_since_last_event(spark, sf_dir):
     """Hours since each source's last event."""
     e = table(spark, sf_dir, "events")
-    as_of = e.agg(F.max("ts").alias("t")).first().t
-    return e.groupBy("user_id").agg(F.max("ts").alias("t")).select("user_id", F.round(dates.hours_since(F.col("t"), F.lit(as_of)), 4).alias("hours"))
+    as_of = F.broadcast(e.agg(F.max("ts").alias("as_of")))  # one row
+    return e.groupBy("user_id").agg(F.max("ts").alias("t")).join(as_of).select("user_id", F.round(dates.hours_since(F.col("t"), F.col("as_of")), 4).alias("hours"))
 
 
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT user_id, event_type, event_id, round(value, 6) AS value FROM r WHERE n = 1""")
 def upsert_latest_wins(spark, sf_dir):
-    """Keyed upsert: the newest row of each key."""
-    return tables.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+    """Keyed upsert of the log's second half into a table made of its first."""
+    keys, newest = ["user_id", "event_type"], (F.desc("ts"), F.desc("event_id"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.round("value", 6).alias("value"))
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    old, new = (tables.latest(e.where(half), keys, *newest).drop("ts") for half in (F.col("ts") < middle, F.col("ts") >= middle))
+    return tables.upsert(old, new, keys)
 
 
 @query("""
@@ -91,11 +98,11 @@ def reconcile_missing_inactive(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, sha256('{"text":' || to_json(CASE WHEN trim(text) <> '' THEN text END) || '}') AS record_hash FROM documents WHERE regexp_matches(text, '^[A-Za-z0-9 .,]+$'))
+WITH d AS (SELECT doc_id, sha256('{"text":' || to_json(CASE WHEN trim(text) <> '' THEN text END) || '}') AS record_hash FROM documents)
 SELECT record_hash, min(doc_id) AS first_doc, count(*) AS n FROM d GROUP BY record_hash""")
 def record_hash_dedup(spark, sf_dir):
-    """Records with one content hash; shown over plain texts, whose JSON is the same in all engines."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Za-z0-9 .,]+$")).select("doc_id", ingest.record_hash(text=F.col("text")).alias("record_hash"))
+    """Records with one content hash."""
+    d = table(spark, sf_dir, "documents").select("doc_id", ingest.record_hash(text=F.col("text")).alias("record_hash"))
     return d.groupBy("record_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
@@ -159,15 +166,11 @@ def session_gap_30m(spark, sf_dir):
 
 @query("""
 WITH m AS (SELECT user_id, ts, event_id, value < 20 AS bad FROM events),
-r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m)
+r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m)
 SELECT user_id, min(ts) AS began, max(ts) AS ended FROM r WHERE bad GROUP BY user_id, run HAVING max(ts) - min(ts) >= INTERVAL 120 SECOND""")
 def alert_condition_held(spark, sf_dir):
     """Stretches over which a condition held for two minutes or more."""
-    e = table(spark, sf_dir, "events").withColumn("order", F.struct("ts", "event_id"))
-    w = Window.partitionBy("user_id").orderBy("order")
-    marked = e.withColumn("bad", F.col("value") < 20).withColumn("run", F.sum(F.when(~F.col("bad"), 1).otherwise(0)).over(w))
-    runs = marked.where("bad").groupBy("user_id", "run").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
-    return runs.where(F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp")) >= 120_000_000).select("user_id", "began", "ended")
+    return metrics.held_for(table(spark, sf_dir, "events"), "user_id", "ts", F.col("value") < 20, 120)
 
 
 @query("""

@@ -24,3 +24,18 @@ def build(master: str = "local[*]", name: str = "millrace", **extra: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One Parquet table of a data folder, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in local mode a temporary folder where that is unset."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"

@@ -1,13 +1,12 @@
-"""Readers and writers: sniffed CSV, replayed pages of JSON, whole files, HTML lists and tables, run summaries."""
+"""Readers and writers: sniffed CSV, pages of JSON services as files, YAML, HTML lists, tables and documentation, run summaries."""
 
 import json
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def sniff(line: str) -> str:
@@ -24,43 +23,110 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", start: int
     separator = sniff(head[0].value) if head else ","
     raw = spark.read.csv(path, header=True, sep=separator, encoding=encoding, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     raw = raw.toDF(*(c.replace("﻿", "").strip() for c in raw.columns))
-    indexed = raw.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    out = spark.createDataFrame(indexed, f"{', '.join(f'`{c}` string' for c in raw.columns)}, row_index long")
-    return out.where(F.col("row_index") > start)
+    return numbered(raw, "row_index").where(F.col("row_index") > start)
 
 
-class ReplayedPages(DataSource):
-    """Pages of a paged JSON service, replayed from files ``<path>/<page>.json``: a partition for each page; a page that is missing
-    or has an error status ends the list. Options: path, pages, items (dotted path of the list in a page)."""
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` numbered from 1 in reading order: positions within partitions, and counts of the partitions before (a row for each partition)."""
+    placed = rows.withColumn("_id", F.monotonically_increasing_id())
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + within + 1).drop("_part", "_before", "_id")
 
-    @classmethod
-    def name(cls):
-        return "replayed_pages"
 
-    def schema(self):
-        return "page int, position int, item string"
+def read_pages(spark: SparkSession, path: str, items: str = "$.items") -> DataFrame:
+    """page, position, item of the pages ``<path>/<page>.json`` of a paged JSON service, up to the first that is missing, empty or an error.
 
-    def reader(self, schema):
-        return _PageReader(self.options)
+    ``items`` is the JSON path of the list in a page. Pages are read by Spark, one row each.
+    """
+    return connected_pages(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)[.]json$", 1).cast("int").alias("page"), "value"), items)
+
+
+def connected_pages(pages: DataFrame, items: str) -> DataFrame:
+    """page, position, item of pages (page, value), from the first one to the one before a gap."""
+    pages = pages.select("page", F.from_json(F.get_json_object("value", items), "array<string>").alias("items"))
+    good = pages.where((F.size("items") > 0) & F.col("page").isNotNull())
+    nth = good.select("page", F.row_number().over(Window.orderBy("page")).alias("nth"))  # page numbers alone
+    connected = nth.select("page", F.min("page").over(Window.partitionBy(F.lit(1))).alias("first"), "nth").where(F.col("page") - F.col("first") == F.col("nth") - 1).select("page")
+    return good.join(F.broadcast(connected), "page", "left_semi").select("page", F.posexplode("items").alias("position", "item"))
+
+
+def with_files(items: DataFrame, views: DataFrame, files: DataFrame, key: str, *fields: str) -> DataFrame:
+    """A list enriched by views and by the number and size of its files; either may be missing."""
+    sums = files.groupBy(key).agg(F.count("*").alias("n_files"), F.sum("size").alias("total_size"))
+    return with_details(items, views, key, *fields).join(sums, key, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+
+
+def catalogue(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A catalogue that is kept in code."""
+    return spark.createDataFrame(rows, schema)
+
+
+def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """path, record (JSON) of YAML files, numbered by path; files that are no mapping are left out."""
+    found = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("path"), yaml_to_json("value").alias("record"))
+    return found.where("record is not null")
+
+
+@F.pandas_udf(T.StringType())
+def yaml_to_json(s: pd.Series) -> pd.Series:
+    """A mapping in YAML as JSON."""
+    import yaml
+
+    def one(x):
+        try:
+            value = yaml.safe_load(x)
+        except yaml.YAMLError:
+            return None
+        return json.dumps(value, ensure_ascii=False, default=str) if isinstance(value, dict) else None
 
+    return s.map(one)
 
-class _PageReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.pages, self.items = options["path"], int(options.get("pages", "1")), options.get("items", "items")
 
-    def partitions(self):
-        return [InputPartition(i) for i in range(self.pages)]
+@F.pandas_udf(T.StringType())
+def decoded(s: pd.Series) -> pd.Series:
+    """Text of a page's bytes: Korean EUC, or UTF-8 where they are no EUC."""
 
-    def read(self, partition):
+    def one(b):
         try:
-            with open(f"{self.path}/{partition.value}.json", encoding="utf-8") as f:
-                page = json.load(f)
-        except FileNotFoundError:
-            return
-        for part in self.items.split("."):
-            page = (page or {}).get(part)
-        for i, item in enumerate(page or []):
-            yield partition.value, i, json.dumps(item, ensure_ascii=False)
+            return bytes(b).decode("euc-kr")
+        except UnicodeDecodeError:
+            return bytes(b).decode("utf-8", "replace")
+
+    return s.map(lambda b: None if b is None else one(b))
+
+
+def detail_links(pages: DataFrame, column: str, pattern: str, key: str) -> DataFrame:
+    """The distinct detail links of list pages, each with its key and the first page that has it."""
+    found = links(pages, column, pattern).withColumn("source_key", F.regexp_extract("link", key, 1)).where("source_key <> ''")
+    return found.groupBy("source_key").agg(F.min_by("link", F.struct("page_id", "link")).alias("link"), F.min("page_id").alias("page_id"))
+
+
+def missing_embeddings(rows: DataFrame, chunks: DataFrame, key: str, again: bool = False, source: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows without chunks (all of them if ``again``), of one source if asked, the first ``limit`` by key."""
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    if not again:
+        rows = rows.join(chunks.select(key), key, "left_anti")
+    return rows if limit is None else rows.orderBy(key).limit(limit)
+
+
+def after_key(rows: DataFrame, key: str, last: object, index: str = "row_index") -> DataFrame:
+    """Rows that come after the one with key ``last``; all rows where that is unknown."""
+    at = rows.where(F.col(key) == F.lit(last)).agg(F.coalesce(F.max(index), F.lit(0)).alias("_at"))
+    return rows.join(F.broadcast(at), F.col(index) > F.col("_at")).drop("_at")
+
+
+def existing_table(spark: SparkSession, preferred: str, fallback: str) -> str:
+    """The table name that there is."""
+    return preferred if spark.catalog.tableExists(preferred) else fallback
+
+
+def write_known(rows: DataFrame, sources: DataFrame, path: str, source: str = "source") -> DataFrame:
+    """Writes the rows of known sources, a folder each; returns how many rows of unknown ones were left out, by source."""
+    write_by_source(rows.join(sources.select(source), source, "left_semi"), path, source)
+    return rows.join(sources.select(source), source, "left_anti").groupBy(source).agg(F.count("*").alias("failed"))
 
 
 def with_details(items: DataFrame, details: DataFrame, key: str, *fields: str) -> DataFrame:
@@ -111,6 +177,68 @@ def html_tables(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+class _Sections(HTMLParser):
+    _KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "paragraph", "li": "paragraph", "pre": "code", "code": "code"}
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.open, self.text = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self._KINDS:
+            if not self.open:
+                self.text = []
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.open and tag == self.open[-1]:
+            self.open.pop()
+            body = "".join(self.text)
+            body = body.strip() if self._KINDS[tag] == "code" else " ".join(body.split())
+            if not self.open and body:
+                self.found.append({"kind": self._KINDS[tag], "text": body})
+
+    def handle_data(self, data):
+        if self.open:
+            self.text.append(data)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
+def sections(s: pd.Series) -> pd.Series:
+    """Headings, paragraphs and code of a documentation page, in order."""
+
+    def one(x):
+        parser = _Sections()
+        parser.feed(x or "")
+        return parser.found
+
+    return s.map(one)
+
+
+#: What the columns of a schema table are called.
+HEADERS = {"name": ("항목명", "컬럼명", "column", "name"), "description": ("항목설명", "설명", "description"), "data_type": ("데이터타입", "타입", "type", "datatype"), "max_length": ("길이", "length", "maxlength"), "unit": ("단위", "unit")}
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in HEADERS])))
+def schema_rows(s: pd.Series) -> pd.Series:
+    """Rows of those tables of a page whose header names columns; cells go to the field that their header names."""
+    import re
+
+    names = {re.sub(r"[^0-9a-z가-힣]", "", a.lower()): n for n, all_ in HEADERS.items() for a in all_}
+
+    def one(x):
+        parser = _Tables()
+        parser.feed(x or "")
+        out = []
+        for table in parser.tables:
+            head = [names.get(re.sub(r"[^0-9a-z가-힣]", "", c.lower())) for c in (table[0] if table else [])]
+            if "name" in head:
+                out += [dict.fromkeys(HEADERS) | {h: c for h, c in zip(head, row) if h and c not in ("", "-")} for row in table[1:]]
+        return out
+
+    return s.map(one)
+
+
 def last_json_line(lines: DataFrame, schema: str) -> DataFrame:
     """The summary that a run printed last: the last line that is a JSON object."""
     found = lines.where(F.trim("value").rlike(r"^\{.*\}$")).select("line_no", F.from_json("value", schema).alias("s")).where("s is not null")

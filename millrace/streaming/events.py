@@ -31,6 +31,14 @@ def first_by_key(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def within(left: DataFrame, right: DataFrame, key: str, span: str, late: str = "1 hour") -> DataFrame:
+    """Events of ``left`` with those of ``right`` of the same key up to ``span`` later: event_id, other_id, key. State is kept as long as ``late`` and ``span`` ask for."""
+    a = left.withWatermark("ts", late).alias("a")
+    b = right.select(F.col("event_id").alias("other_id"), F.col("ts").alias("other_ts"), F.col(key).alias("other_key")).withWatermark("other_ts", late).alias("b")
+    near = (F.col("other_ts") >= F.col("ts")) & (F.col("other_ts") <= F.col("ts") + F.expr(f"interval {span}"))
+    return a.join(b, (F.col(key) == F.col("other_key")) & near).select("event_id", "other_id", key)
+
+
 def run(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything there is now, then stop; progress is kept in ``checkpoint``, so a second run takes only what is new."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

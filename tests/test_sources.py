@@ -13,8 +13,8 @@ def test_sniffed_csv(spark, tmp_path):
 def test_replayed_pages(spark, tmp_path):
     for i in range(2):
         (tmp_path / f"{i}.json").write_text(json.dumps({"result": {"items": [{"id": i * 10 + k} for k in range(3)]}}))
-    spark.dataSource.register(files.ReplayedPages)
-    rows = spark.read.format("replayed_pages").option("path", str(tmp_path)).option("pages", 5).option("items", "result.items").load()
+    (tmp_path / "3.json").write_text(json.dumps({"result": {"items": [{"id": 99}]}}))  # after a gap
+    rows = files.read_pages(spark, str(tmp_path), "$.result.items")
     assert sorted((r.page, r.position, json.loads(r.item)["id"]) for r in rows.collect()) == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 10), (1, 1, 11), (1, 2, 12)]
 
 
