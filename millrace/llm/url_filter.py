@@ -6,8 +6,9 @@ no key is mistaken. A key's answer is the parity of the first level that does no
 the corpus can ask for, so every answer is exact, without a join.
 
 Level 1 has a false-positive rate of about sqrt(1/2) * listed / universe and the later levels one half, so the second level has fewer
-keys than the list (in expectation 0.7 of it) and all levels together take O(listed * log(universe / listed)) bits. That bound, not
-the corpus, sets the size of the literals in the plan; ``MAX_BITS`` is checked. Everything is DataFrame functions.
+keys than the list (in expectation 0.7 of it) and all levels together take O(listed * log(universe / listed)) bits: a list of a million
+hosts over a hundred million keys takes about 2 MB. That bound, not the corpus, sets the size of the plan, in which each level is one
+binary value; ``MAX_BITS`` is checked. Everything is DataFrame functions; building and looking up use no join.
 
 Null urls, and urls without ``://``: host and path empty, rule null, verdict allow (nothing is listed). Empty tables give no rows,
 repeated rows one verdict each; extra columns are ignored.
@@ -18,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stored
+
 #: Fixed values: (host, path), and whether the rule blocks.
 RULES = ((("com", "/"), False), (("example.com", "/en/"), True), (("www.example.com", "/en/"), False), (("net", "/es/"), True), (("net", "/fr/"), True))
 #: The production list: hosts (with all their subdomains) of advertising, gambling and spam.
@@ -54,9 +57,9 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 class BloomCascade:
-    """Levels of (bits, hashes, words of 32 bits); ``contains`` is a column expression."""
+    """Levels of (bits, hashes, bytes); ``contains`` is a column expression."""
 
-    def __init__(self, levels: list[tuple[int, int, list[int]]]):
+    def __init__(self, levels: list[tuple[int, int, bytes]]):
         self.levels = levels
 
     @staticmethod
@@ -64,12 +67,12 @@ class BloomCascade:
         return [F.pmod(F.xxhash64(F.lit(level * 64 + i), key), F.lit(bits)) for i in range(hashes)]
 
     @classmethod
-    def _in_level(cls, key: Column, at: int, level: tuple[int, int, list[int]]) -> Column:
-        bits, hashes, words = level
-        table = F.expr(f"array({','.join(f'{w}L' for w in words)})")
-        out = F.lit(True)
+    def _in_level(cls, key: Column, at: int, level: tuple[int, int, bytes]) -> Column:
+        bits, hashes, table = level
+        table, out = F.lit(table), F.lit(True)  # one value, which all positions share
         for p in cls._positions(key, at, bits, hashes):
-            out = out & (F.bit_get(F.get(table, F.floor(p / 32).cast("int")), (p % 32).cast("int")) == 1)
+            byte = F.conv(F.hex(F.substring(table, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            out = out & (F.bit_get(byte, (p % 8).cast("int")) == 1)
         return out
 
     def contains(self, key: Column) -> Column:
@@ -87,23 +90,24 @@ class BloomCascade:
         if not n:
             return cls([])
         total = universe.select(F.approx_count_distinct("key").alias("n")).first().n
-        levels: list[tuple[int, int, list[int]]] = []
+        levels: list[tuple[int, int, bytes]] = []
         inside, others, rate = listed, universe.where(F.col("key").isNotNull()), min(0.5, math.sqrt(0.5) * n / max(total, n))
         while n:
             hashes = max(1, min(_HASHES, round(-math.log2(rate))))
-            bits = max(32, math.ceil(-hashes * n / math.log(1 - rate ** (1 / hashes)) / 32) * 32)
+            bits = max(8, math.ceil(-hashes * n / math.log(1 - rate ** (1 / hashes)) / 8) * 8)
             if bits > MAX_BITS:
                 raise ValueError(f"the list needs {bits} bits; MAX_BITS is {MAX_BITS}")
             at = len(levels)
-            hits = inside.select(F.explode(F.array(*cls._positions(F.col("key"), at, bits, hashes))).alias("p")).select(F.floor(F.col("p") / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int")).alias("b"))
-            words = [0] * (bits // 32)
-            for row in hits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-                words[row.w] = row.b
-            levels.append((bits, hashes, words))
-            mistaken = others.where(cls._in_level(F.col("key"), at, levels[-1]))
-            if at == 0:
-                mistaken = mistaken.join(F.broadcast(listed), "key", "left_anti")
-            mistaken = mistaken.distinct().cache()
+            hits = inside.select(F.explode(F.array(*cls._positions(F.col("key"), at, bits, hashes))).alias("p")).select(F.floor(F.col("p") / 8).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int")).alias("b"))
+            table = bytearray(bits // 8)
+            for row in hits.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+                table[row.w] = row.b
+            levels.append((bits, hashes, bytes(table)))
+            mistaken = others.where(cls._in_level(F.col("key"), at, levels[-1])).select("key")
+            if at == 0:  # of the universe, without the list
+                marked = mistaken.withColumn("on", F.lit(False)).unionByName(listed.select("key").withColumn("on", F.lit(True)))
+                mistaken = marked.groupBy("key").agg(F.bool_or("on").alias("on")).where("not on").select("key")
+            mistaken = stored(mistaken.distinct(), "mistaken")
             n, rate = mistaken.count(), 0.5
             inside, others = mistaken, inside
         return cls(levels)
