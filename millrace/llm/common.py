@@ -22,9 +22,11 @@ _U = np.uint64
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table in the shared folder of spark.checkpoint.dir (set here only where it is unset)."""
+    """A new path for an intermediate table in the shared folder of spark.checkpoint.dir; in local mode a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="millrace-")
