@@ -146,12 +146,32 @@ def _histograms(batches):
         )
 
 
+def _shares(column: str):
+    """Of a task's rows the sum of the normalised histograms of each language, and how many there are."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        counts: dict[str, int] = {}
+        for b in batches:
+            languages = np.array(b.column("language").to_pylist(), object)
+            rows = b.column(column)
+            hist = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(float)
+            total = hist.sum(1)
+            for language in set(languages[total > 0]):
+                own = (languages == language) & (total > 0)
+                sums[language] = sums.get(language, 0) + (hist[own] / total[own, None]).sum(0)
+                counts[language] = counts.get(language, 0) + int(own.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([counts[x] for x in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["language", "n", "sums"])
+
+    return run
+
+
 def references(histograms: DataFrame, column: str) -> dict[str, np.ndarray]:
-    """The mean normalised histogram of each language: five rows at most, of a fixed length."""
-    total = F.aggregate(column, F.lit(0), lambda a, x: a + x)
-    each = histograms.where(total > 0).select("language", F.posexplode(F.transform(column, lambda x: x / total)).alias("bin", "share"))
+    """The mean normalised histogram of each language: five rows at most, of a fixed length; a task sends one row for each."""
+    partial = histograms.select("language", column).mapInArrow(_shares(column), "language string, n long, sums array<double>")
+    each = partial.select("language", "n", F.posexplode("sums").alias("bin", "sum"))
     out: dict[str, np.ndarray] = {}
-    for row in each.groupBy("language", "bin").agg(F.avg("share").alias("share")).collect():
+    for row in each.groupBy("language", "bin").agg((F.sum("sum") / F.sum("n")).alias("share")).collect():
         out.setdefault(row.language, np.zeros(max(len(CHAR_CLASSES), len(COMMON_WORDS) + 1)))[row.bin] = row.share
     return out
 
