@@ -9,13 +9,14 @@ Every overlap that the rule accepts is found: ``MASKS`` and ``COMPLETING`` toget
 each placement of as many changed words as AGREE allows, a mask and a shift without a changed word under a 1 (other masks, or a stretch or
 share below those, give no such warranty). Items shorter than SPAN words are cut into two blocks more than they may have changed words,
 and looked up by masks of their whole length, one for each two blocks: two blocks at least are unchanged. Items under ``LEAST_WORDS`` words are too short to tell and
-are ignored. The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents each, so what a worker
-holds is bounded at any size of the benchmark.
+are ignored. The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents each, stored before the next, so what
+the driver and a worker hold, and the plan, are bounded at any size of the benchmark.
 
 Null and empty texts and items match nothing; null item ids stay null in ``items``; repeated items count as one per item_id; repeated
 documents get a row each. Empty tables are allowed, extra columns ignored.
 """
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, text_chunks, utf8
+from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, stored, text_chunks, utf8
 
 SPAN = 12
 #: Weight 8 each; a shift and a mask with no changed word under a 1 is enough for a hit.
@@ -149,27 +150,31 @@ _OVERLAPS = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64
 _FOUND = "array<struct<item_id: long, first_word: long, end_word: long>>"
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size. Items stream to the driver one block at a time."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of bounded size, which stream to the driver one at a time; one empty block for an empty benchmark."""
+    block, size, any_block = [], 0, False
     for row in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(row.text.split())
         if size and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
+            yield block
+            block, size, any_block = [], 0, True
+        block.append((row.item_id, row.text))
         size += n
-    return blocks
+    if block or not any_block:
+        yield block
 
 
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, column: str, masks=MASKS + COMPLETING, stretch: int = STRETCH, agree: float = AGREE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` (none may start with ``column``) and ``column``: the verified overlaps (item_id, first_word, end_word) of each text."""
-    out, parts = small_batches(docs), []
-    for i, block in enumerate(_blocks(benchmark, block_words)):
-        parts.append(f"{column}{i}")
-        schema = T.StructType([*out.schema.fields, T.StructField(parts[-1], T._parse_datatype_string(_FOUND))])
-        out = out.mapInArrow(_append(block, parts[-1], masks, stretch, agree), schema)
-    return out.select(*docs.columns, F.concat(*parts).alias(column))
+    out, found = small_batches(docs), None
+    for block in _blocks(benchmark, block_words):
+        if found is not None:  # the block before is worked off and let go
+            out = stored(out.withColumn(column, found).select(*docs.columns, column), "overlaps")
+        new = f"{column}_new"
+        found = F.concat(column, new) if column in out.columns else F.col(new)
+        schema = T.StructType([*out.schema.fields, T.StructField(new, T._parse_datatype_string(_FOUND))])
+        out = out.mapInArrow(_append(block, new, masks, stretch, agree), schema)
+    return out.withColumn(column, found).select(*docs.columns, column)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
