@@ -1,3 +1,8 @@
+import random
+from functools import lru_cache
+
+import numpy as np
+
 from millrace.llm import html_extract
 from tests.llm.helpers import pairs
 
@@ -20,10 +25,62 @@ def test_odd_pages():
     assert text("<script>never closed <p>x") == "" and len(text("<p>" + "long " * 200_000)) == 999_999
 
 
-def test_alignment_is_a_largest_ordered_matching():
-    tree = lambda *leaves: [(0, "", 0), *((1, x, k) for x, k in leaves)]
-    a, b = tree(("p", 1), ("p", 2), ("q", 3)), tree(("p", 2), ("q", 3), ("q", 4))
-    assert html_extract.align(a, b) == {0: 0, 2: 1, 3: 2}
+def _tree(shapes, *nodes):
+    depth, label, key = zip(*nodes)
+    return html_extract.Tree(np.array(depth, np.int32), np.array([hash(x) for x in label], np.int64), np.array(key, np.int64), shapes)
+
+
+def _best(a, i, b, j):
+    """The most nodes that two subtrees match, by trying all."""
+    if a.label[i] != b.label[j]:
+        return 0
+
+    @lru_cache(None)
+    def lists(p, q):
+        left, right = a.kids[i], b.kids[j]
+        if p == len(left) or q == len(right):
+            return 0
+        return max(lists(p + 1, q), lists(p, q + 1), _best(a, left[p], b, right[q]) + lists(p + 1, q + 1))
+
+    return 1 + lists(0, 0)
+
+
+def test_alignment_is_a_largest_ordered_matching(monkeypatch):
+    shapes = html_extract.Shapes()
+    a = _tree(shapes, (0, "", 0), (1, "p", 1), (1, "p", 2), (1, "q", 3))
+    b = _tree(shapes, (0, "", 0), (1, "p", 2), (1, "q", 3), (1, "q", 4))
+    assert html_extract.align(a, b, shapes) == {0: 0, 2: 1, 3: 2}
+    rng = random.Random(1)
+    for cells in (1 << 20, 4):  # in linear space, too
+        monkeypatch.setattr(html_extract, "TABLE_CELLS", cells)
+        for _ in range(150):
+            trees = []
+            for _ in range(2):
+                nodes, depth = [(0, "", 0)], 0
+                for _ in range(rng.randrange(14)):
+                    depth = rng.randrange(1, min(depth + 2, 4) + 1) if nodes[1:] else 1
+                    depth = min(depth, nodes[-1][0] + 1)
+                    nodes.append((depth, rng.choice("abc"), rng.randrange(3)))
+                trees.append(_tree(shapes, *nodes))
+            got = html_extract.align(*trees, shapes)
+            assert shapes.matched(trees[0].shape[0], trees[1].shape[0]) == _best(trees[0], 0, trees[1], 0)
+            assert all(trees[0].label[i] == trees[1].label[j] for i, j in got.items()) and [j for _, j in sorted(got.items())] == sorted(set(got.values()))
+
+
+def test_deep_and_wide_pages_align(spark):
+    deep = "<div>" * 5000 + "<p>deep {v}</p>" + "</div>" * 5000
+    wide = "<ul>" + "".join(f"<li>{{v}} line {i}</li>" for i in range(1500)) + "</ul><p>Same end of all</p>"
+    rows = [(i, f"https://a.example.com/{i}", deep.format(v=i)) for i in range(4)] + [(10 + i, f"https://b.example.com/{i}", wide.format(v=i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep 1" and got[12].startswith("2 line 0\n\n") and got[12].endswith("2 line 1499")
+
+
+def test_each_common_layout_has_its_own_template(spark):
+    front = "<body><div class='front'><div>Front banner</div><section>News {v}</section></div></body>"
+    page = "<body><div>Same banner</div><p>Text {v} first</p></body>"
+    rows = [(i, f"https://a.example.com/{i}", front.format(v=i)) for i in range(5)] + [(10 + i, f"https://a.example.com/x{i}", page.format(v=i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "News 0" and got[10] == "Text 0 first"
 
 
 def _site(n, host):
