@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 from millrace.llm import pii
 from tests.llm.helpers import documents, empty, pairs
@@ -78,3 +81,85 @@ def test_hostile_rows(spark):
 def test_overlapping_spans_are_redacted_once(spark):
     rows = [(1, "a 4111 1111 1111 1111 b +4111 1111 1111 111 c 1.2.3.4@x.org d")]
     assert pii.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).first().text == "a [CARD] b [PHONE] c [EMAIL] d"
+
+
+def _spans(text):
+    """kind, start, end, value, words beside, of each valid base span, by kind."""
+    out = []
+    for kind, pattern in PATTERNS.items():
+        all_matches = list(re.finditer(pattern, text))
+        valid = {tuple(map(int, x.split(":")[1:])) for x in base(text)[-1].split(",") if x.startswith(kind + ":")}
+        for n, m in enumerate(all_matches):
+            if m.span() not in valid:
+                continue
+            before = text[all_matches[n - 1].end() if n else 0 : m.start()]
+            after = text[m.end() : all_matches[n + 1].start() if n + 1 < len(all_matches) else len(text)]
+            left, right = before.split("\n")[-1], after.split("\n")[0]
+            left = left if len(left) < pii.CONTEXT_CHARS else re.sub(r"^\S*", "", left[-pii.CONTEXT_CHARS + 1 :]) if left[-pii.CONTEXT_CHARS] != " " else left[-pii.CONTEXT_CHARS + 1 :]
+            out.append((kind, *m.span(), m[0], left.split()[-pii.CONTEXT_WORDS :] + right[: pii.CONTEXT_CHARS].split()[: pii.CONTEXT_WORDS]))
+    return out
+
+
+def _names(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "email":
+        local, domain = value.lower().split("@")
+        name = re.sub("[^a-z]", "", local)
+        return {value.lower(), "@" + domain} | ({name} if len(name) >= 4 else set())
+    return {value, ".".join(value.split(".")[:2])} if kind == "ip" else {digits, digits[: 6 if kind == "card" else 4]}
+
+
+def _terms(texts):
+    """The term spans of each text, by the definition."""
+    contexts, pairs_, lines = {}, {}, [x for t in texts for x in t.split("\n")]
+    for t in texts:
+        for kind, _, _, value, words in _spans(t):
+            for e in _names(kind, value):
+                contexts.setdefault((kind, e), set()).add(tuple(words))
+                for w in words:
+                    seen = pairs_.setdefault((kind, e, w), (set(), set()))
+                    seen[0].add(tuple(words))
+                    seen[1].add(t)
+    disclosing = set()
+    for (kind, e, w), (some, where) in pairs_.items():
+        if min(len(some), len(where)) >= pii.LEAST_CONTEXTS:
+            n_term, n_entity = sum(w in x.split() for x in lines), len(contexts[kind, e])
+            pmi = math.log2(len(some) / n_entity) - math.log2(max(n_term, len(some)) / len(lines))
+            if pmi >= pii.DISCLOSURE * -math.log2(n_entity / len(lines)):
+                disclosing.add((kind, e, w))
+    out = []
+    for t in texts:
+        held = {(kind, e) for kind, _, _, value, _ in _spans(t) for e in _names(kind, value)}
+        words = {w for k, e, w in disclosing if (k, e) in held}
+        out.append([f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", t) if m[0] in words])
+    return out
+
+
+def test_terms_match_an_independent_count(spark):
+    rng = random.Random(4)
+    people = [(f"Name{k}", f"role{k}", f"person{'abcdef'[k]}.{k}@d{k % 2}.example.org", f"+1 (20{k}) 555-010{k}", f"10.{k}.3.7") for k in range(6)]
+    texts = []
+    for i in range(160):
+        words = [f"w{int(rng.random() ** 2 * 90)}" for _ in range(rng.randrange(5, 60))]
+        if i % 3 == 0:
+            name, role, *values = rng.choice(people)
+            at = rng.randrange(len(words))
+            words[at:at] = [name, rng.choice(values), role] if rng.random() < 0.8 else [rng.choice(values)]
+        for k in range(9, len(words), 13):
+            words[k] += "\n" + "x" * rng.choice([0, 3, 150])
+        texts.append(" ".join(words))
+    want = _terms(texts)
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(map(len, want)) > 20
+    for i, t in enumerate(want):
+        assert [x for x in got[i].spans.split(",") if x.startswith("term:")] == t and got[i].n_term == len(t)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    text = " ".join(f"10.{i % 250}.{i % 200}.{i % 99} via u{i}@h{i % 7}.example.org" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "one line")], "doc_id long, text string")
+    began = time.time()
+    row = pii.find(docs).where("doc_id = 1").first()
+    assert (row.n_email, row.n_ip) == (50_000, 50_000) and row.base_sha256 == base(text)[4]
+    clean = pii.sanitize(docs).where("doc_id = 1").first().text
+    assert re.sub(r"via|\[TERM\]", "", clean).split() == ["[IP]", "[EMAIL]"] * 50_000 and time.time() - began < 240
