@@ -23,3 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not joined.where(F.col("label") != F.col("old")).take(1):
             return joined.select("node", "label")
         labels = joined.select("node", "label")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after ``edges`` (a, b) between nodes have joined their groups; components are found over groups alone."""
+    ends = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la != lb")
+    ends = stored(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "joins")
+    if not ends.take(1):
+        return labels
+    moved = components(ends).toDF("label", "to")
+    return stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")

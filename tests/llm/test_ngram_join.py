@@ -78,3 +78,40 @@ def test_empty_table(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.range(150).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(500, 400)], "a long, b long"))
     assert pairs(graph.components(edges), "node", "label") == sorted([(i, 0) for i in range(151)] + [(400, 400), (500, 400)], key=str)
+
+
+def test_keep_with_repeated_ids(spark):
+    a, b = words(random.Random(1), 60, 300), words(random.Random(2), 60, 300)
+    near = b.split()
+    near[30] = "changed"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, " ".join(near), "x"), (None, a, "x"), (None, a, "x"), (3, "only here", "x"), (3, "only here", "y"), (3, "only here", None)]
+    kept = ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string, extra string"), 5, 80).collect()
+    ids = sorted(str(r.doc_id) for r in kept)
+    assert ids == ["1", "2", "3", "None", "None"]
+    assert {r.text for r in kept if r.doc_id == 2} <= {b, " ".join(near)}
+
+
+def test_a_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Verified pairs grow with the nodes of a group, not with their square."""
+    tried = []
+    stored = ngram_join.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        if name == "verified":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    rng = random.Random(8)
+    base = words(rng, 150, 5000).split()
+    for n in (60, 240):
+        tried.clear()
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
+            rows.append((i, " ".join(w)))
+        got = pairs(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90), "doc_id", "n_shingles", "component_id")
+        assert got == want(rows, 3, 90) and sum(tried) < 6 * n

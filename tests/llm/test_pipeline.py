@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import catalog, decontamination, ngram_join, pii, quality_classifier
+from tests.llm.helpers import documents, empty
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,30 @@ def test_stages_narrow_down_and_keep_the_columns(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_every_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def _folder(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_hostile_documents_go_through_all_stages(spark, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows, null ids, clashing extra columns: no stage fails, columns stay, rows only get fewer."""
+    docs = documents(spark, extra=True)
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and docs.count() <= before
+        before = docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id", "piece", "start").count() >= before
+    kept = corpus_pipeline.STAGES[0][1](spark, documents(spark, extra=True), SF)
+    assert kept.columns == columns and kept.count() <= 18
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path, empty(spark))).count() == 0
