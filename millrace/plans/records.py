@@ -98,7 +98,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS BIGINT) * 1000
 def stated_sizes(spark, sf_dir):
     """The greatest size that a description states beside a word for sizes."""
     n = F.col("p_size").cast("string")
-    about = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("The total volume is "), n, F.lit(" GB now"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("dataset size: "), n, F.lit(" MiB"), F.lit(" " * 60), F.lit("archive of "), (F.col("p_size") * 2).cast("string"), F.lit(" MiB"))).otherwise(F.concat(F.lit("we ate "), n, F.lit(" GB of cake")))
+    about = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("The total volume is "), n, F.lit(" GB now"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("dataset size: "), n, F.lit(" MiB"), F.lit(" " * 60), F.lit("storage of "), (F.col("p_size") * 2).cast("string"), F.lit(" MiB"))).otherwise(F.concat(F.lit("we ate "), n, F.lit(" GB of cake")))
     return table(spark, sf_dir, "part").select("p_partkey", records.stated_size(about).alias("stated"))
 
 
