@@ -7,8 +7,9 @@
    greatest weight is priced by knapsack dynamic programming, used as often as its scarcest length allows, and the weights of its
    lengths shrink by the share that it covers. The program over the patterns so far then sets the weights, until every length is
    covered and the uses are within ``GAP`` of the dual bound; lengths are counted in units, as fine as that asks for.
-3. Rounding: patterns are used in whole numbers; their places go to real pieces and the room left to small ones; the rest is packed by
-   best fit on the histogram. Where best fit alone needs fewer sequences, its packing is used.
+3. Rounding: patterns are used in whole numbers, rounded down; the pieces left re-enter the program until all of them have a place in a
+   pattern. The room left in the sequences goes to the pieces up to a sixteenth of a sequence, by exact subset sums; what remains of
+   those fills sequences of its own in the same way.
 4. The packing is a table of slots (length, ranks, sequence, offset) of a size bounded by patterns and lengths. Pieces get a rank
    within their length by block counts (no window holds all pieces of one length) and find their slot by binary search.
 
@@ -31,6 +32,13 @@ CAPACITY = 4096
 END_ID = 1
 #: The linear program is solved to this share above its lower bound.
 GAP = 0.01
+#: The finest division of a sequence into units: with places that take longer pieces too (WIDER), more gains next to nothing and takes
+#: minutes (3,000 lengths: 7,819 uses at 512 units in 1 s, 7,812 at 1,024 in 10 s).
+FINEST = 512
+#: Rounds without any progress of uses or bound after which a program is taken as it is: it covers every length all the same.
+STALLED = 2000
+#: Units by which the piece in a place of a pattern may be longer than the place.
+WIDER = 2
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 150_000
 
@@ -187,8 +195,28 @@ def price(weights: np.ndarray) -> dict[int, int]:
     return _taken(_knapsack(weights)[1], len(weights) - 1)
 
 
+def _inverted(columns: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps with row pivots. Element-wise work only: threaded linear algebra can stand still for ever in a
+    process that was forked from one with threads."""
+    n = len(columns)
+    work = np.concatenate([columns, np.eye(n)], 1)
+    for i in range(n):
+        k = i + int(np.abs(work[i:, i]).argmax())
+        if k != i:
+            work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[i]
+    return work[:, n:]
+
+
 class _Master:
-    """The program over the patterns found so far, by the revised simplex method: min sum x, A x >= need, with prices of the sizes."""
+    """The program over the patterns found so far, by the revised simplex method: min sum x, A x >= need, with prices of the sizes.
+
+    No product of it goes through BLAS (see ``_inverted``): sums of element-wise products, and einsum without its optimizer.
+    """
 
     def __init__(self, sizes: np.ndarray, need: np.ndarray, capacity: int):
         self.at = {int(n): i for i, n in enumerate(sizes)}
@@ -196,7 +224,8 @@ class _Master:
         self.basis: list[dict[int, int] | None] = [{int(n): capacity // int(n)} for n in sizes]
         self.rows = list(range(len(sizes)))  # the row of a surplus column
         self.pivots = 0
-        self._invert()
+        self.inverse = np.diag(1 / np.array([capacity // int(n) for n in sizes], float))
+        self._solve()
 
     def _column(self, i: int) -> np.ndarray:
         out = np.zeros(len(self.need))
@@ -207,24 +236,28 @@ class _Master:
                 out[self.at[n]] = a
         return out
 
-    def _invert(self) -> None:
-        self.inverse = np.linalg.inv(np.stack([self._column(i) for i in range(len(self.need))], 1))
-        self.x = np.maximum(self.inverse @ self.need, 0)
+    def _solve(self) -> None:
+        self.x = np.maximum(np.einsum("ij,j->i", self.inverse, self.need), 0)
         self.cost = np.array([float(p is not None) for p in self.basis])
-        self.prices = self.cost @ self.inverse
+        self.prices = np.einsum("i,ij->j", self.cost, self.inverse)
+
+    def total(self) -> float:
+        return float((self.cost * self.x).sum())
 
     def enter(self, pattern: dict[int, int] | None, row: int = 0, least: float = 1e-9) -> bool:
         """A pattern, or the surplus of a row, comes into the basis if it costs ``least`` less than its prices."""
         rows = [row] if pattern is None else [self.at[n] for n in pattern]
         values = np.array([-1.0] if pattern is None else list(pattern.values()), float)
-        reduced = float(pattern is not None) - float(self.prices[rows] @ values)
-        if reduced > -least:
+        reduced = float(pattern is not None) - float((self.prices[rows] * values).sum())
+        if not reduced <= -least:
             return False
-        change = self.inverse[:, rows] @ values
+        change = (self.inverse[:, rows] * values).sum(1)
         ratio = np.full(len(change), np.inf)
         up = change > 1e-9
         ratio[up] = self.x[up] / change[up]
         i = int(ratio.argmin())
+        if not ratio[i] < np.inf:
+            return False
         self.x = np.maximum(self.x - ratio[i] * change, 0)
         self.x[i] = ratio[i]
         new = self.inverse[i] / change[i]
@@ -234,7 +267,8 @@ class _Master:
         self.basis[i], self.rows[i], self.cost[i] = pattern, row, float(pattern is not None)
         self.pivots += 1
         if self.pivots % 1000 == 0:
-            self._invert()
+            self.inverse = _inverted(np.stack([self._column(k) for k in range(len(self.need))], 1))
+            self._solve()
         return True
 
 
@@ -253,18 +287,19 @@ def _program(counts: np.ndarray, rounds: int, step: float, gap: float) -> tuple[
         for n, a in pattern.items():
             weights[n] *= np.exp(-step * a * amount / counts[n])
         master.enter(pattern)
-    bound, prices = 0.0, np.zeros(len(counts))
-    while True:
+    bound, prices, idle = 0.0, np.zeros(len(counts)), 0
+    while idle < STALLED:
+        before = (master.total(), bound)
         low = int(master.prices.argmin())
-        if master.prices[low] < -1e-9:
-            master.enter(None, low)
+        if master.prices[low] < -1e-9 and master.enter(None, low):
+            idle = idle + 1 if master.total() >= before[0] - 1e-12 else 0
             continue
         weights = np.full(len(counts), -1.0)
         weights[sizes] = np.maximum(master.prices, 0)
         best, pick = _knapsack(weights)
-        if (reached := float(counts[sizes] @ weights[sizes]) / best[capacity]) > bound:
+        if (reached := float((counts[sizes] * weights[sizes]).sum()) / best[capacity]) > bound:
             bound, prices = reached, np.maximum(weights, 0) / best[capacity]
-        if master.cost @ master.x <= bound * (1 + gap) or best[capacity] <= 1 + 1e-9:
+        if master.total() <= bound * (1 + gap) or best[capacity] <= 1 + 1e-9:
             break
         # The best pattern of each size by the same pricing, as long as it is worth half of what the best one was.
         value = weights[sizes] + best[capacity - sizes]
@@ -272,6 +307,7 @@ def _program(counts: np.ndarray, rounds: int, step: float, gap: float) -> tuple[
             pattern = _taken(pick, capacity - int(sizes[i]))
             pattern[int(sizes[i])] = pattern.get(int(sizes[i]), 0) + 1
             master.enter(pattern, least=(best[capacity] - 1) / 2)
+        idle = idle + 1 if master.total() >= before[0] - 1e-12 and bound <= before[1] else 0
     return [(p, float(x)) for p, x in zip(master.basis, master.x, strict=True) if p is not None and x > 0], prices
 
 
@@ -287,20 +323,21 @@ def configuration_lp(counts: np.ndarray, rounds: int = 150, step: float = 0.4, g
 
 def large_program(counts: np.ndarray, capacity: int, unit: int | None = None, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], int, float]:
     """The program over pieces above a sixteenth of a sequence: patterns of sizes in units of tokens, the unit, and a lower bound of the
-    uses in single tokens. The unit is halved until the uses are within ``gap`` of the bound, unless it is given.
+    uses in single tokens. The unit is halved until the uses are within ``gap`` of the bound or a sequence has FINEST units, unless it
+    is given.
     """
     large = np.where(np.arange(len(counts)) > capacity // 16, counts, 0)
     at, given = unit or max(1, capacity // 256), unit is not None
     while capacity % at:
         at -= 1
-    bound = float(large @ np.arange(len(counts))) / capacity
+    bound = float((large * np.arange(len(counts))).sum()) / capacity
     while True:
         sizes = -(-np.arange(len(counts)) // at)
         program, prices = _program(np.bincount(sizes, large, minlength=capacity // at + 1), 150, 0.4, gap / 4)
         weights = np.where(large > 0, prices[sizes], -1.0)
         if program:
-            bound = max(bound, float(large @ np.maximum(weights, 0)) / _knapsack(weights)[0][capacity])
-        if given or at == 1 or sum(x for _, x in program) <= bound * (1 + gap):
+            bound = max(bound, float((large * np.maximum(weights, 0)).sum()) / _knapsack(weights)[0][capacity])
+        if given or at == 1 or capacity // at >= FINEST or sum(x for _, x in program) <= bound * (1 + gap):
             return program, at, bound
         at = next(n for n in range(at // 2, 0, -1) if capacity % n == 0)
 
@@ -313,19 +350,32 @@ class _Left:
         self.counts[0] = 0
         self.lengths = [int(n) for n in np.flatnonzero(self.counts)]
 
-    def fill(self, room: int, pattern: dict[int, int]) -> None:
-        """Adds to ``pattern`` the longest that fits, again and again."""
-        at = len(self.lengths)
-        while room > 0:
-            at = bisect.bisect_right(self.lengths, room, 0, at)
-            if not at:
+    def fill(self, room: int) -> dict[int, int]:
+        """The pieces that fill ``room`` best: a subset of greatest sum, of long pieces rather than short ones.
+
+        Each length enters as bundles of 1, 2, 4 ... pieces; the sums that bundles reach are the bits of one number.
+        """
+        bundles, sums, reached = [], [1], 1
+        mask = (1 << room + 1) - 1
+        for length in reversed(self.lengths[: bisect.bisect_right(self.lengths, room)]):
+            number, size = min(int(self.counts[length]), room // length), 1
+            while number:
+                size = min(size, number)
+                bundles.append((length, size))
+                reached = (reached | reached << length * size) & mask
+                sums.append(reached)
+                number -= size
+                size *= 2
+            if reached >> room:
                 break
-            length = self.lengths[at - 1]
-            take = min(int(self.counts[length]) - pattern.get(length, 0), room // length)
-            if take:
-                pattern[length] = pattern.get(length, 0) + take
-                room -= take * length
-            at -= 1
+        out: dict[int, int] = {}
+        at = reached.bit_length() - 1
+        for k in range(len(bundles), 0, -1):
+            if not sums[k - 1] >> at & 1:
+                length, size = bundles[k - 1]
+                out[length] = out.get(length, 0) + size
+                at -= length * size
+        return out
 
     def times(self, pattern: dict[int, int]) -> int:
         return min(int(self.counts[n]) // a for n, a in pattern.items())
@@ -337,51 +387,118 @@ class _Left:
                 self.lengths.pop(bisect.bisect_left(self.lengths, n))
 
 
-def best_fit(left: _Left, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns and whole numbers that pack all that is left; equal sequences are made together."""
-    out = []
+def _placed(left: _Left, places: dict[int, int], unit: int, capacity: int) -> tuple[dict[int, int], bool]:
+    """Pieces for a pattern's places, and whether each place has one.
+
+    A place takes a piece of its size or of up to WIDER more units: units round lengths up, so a pattern has room that only longer pieces
+    use. The lengths with the greatest sum are taken; where more pieces of a length would be needed than are left, or a place has
+    none, the longest of each size.
+    """
+    choices, sums, mask = [], [1], (1 << capacity + 1) - 1
+    for size, number in sorted(places.items(), reverse=True):
+        low, high = bisect.bisect_right(left.lengths, (size - 1) * unit), bisect.bisect_right(left.lengths, (size + WIDER) * unit)
+        for _ in range(number):
+            choices.append(left.lengths[low:high][::-1])
+            reached = 0
+            for length in choices[-1]:
+                reached |= sums[-1] << length
+            sums.append(reached & mask)
+    pattern: dict[int, int] = {}
+    at = sums[-1].bit_length() - 1
+    for k in range(len(choices), 0, -1):
+        length = next((n for n in choices[k - 1] if n <= at and sums[k - 1] >> at - n & 1 and pattern.get(n, 0) < left.counts[n]), None)
+        if length is None:
+            break
+        pattern[length] = pattern.get(length, 0) + 1
+        at -= length
+    else:
+        return pattern, True
+    pattern, full = {}, True
+    for size, number in sorted(places.items(), reverse=True):
+        high = bisect.bisect_right(left.lengths, size * unit)
+        while number and high and left.lengths[high - 1] > (size - 1) * unit:
+            length = left.lengths[high - 1]
+            take = min(number, int(left.counts[length]))
+            pattern[length] = take
+            number -= take
+            high -= 1
+        full = full and not number
+    return pattern, full
+
+
+def _large(counts: np.ndarray, capacity: int, unit: int | None) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences for all pieces above a sixteenth of a sequence.
+
+    The program's uses are rounded down and taken; the pieces left re-enter the program. Where no use reaches one, the patterns of the
+    greatest uses (half of the greatest one at least) are taken once; a place that no piece is left for goes to others that fit.
+    """
+    left, out = _Left(np.where(np.arange(len(counts)) > capacity // 16, counts, 0)), []
     while left.lengths:
+        program, unit, _ = large_program(left.counts, capacity, unit)  # the unit found for all pieces serves what is left of them
+        whole = [(p, int(x + 1e-6)) for p, x in program if x >= 1 - 1e-6]
+        most = max(x for _, x in program)
+        for places, wanted in whole or [(p, 1) for p, x in sorted(program, key=lambda p: -p[1]) if x >= most / 2]:
+            while wanted > 0 and left.lengths:
+                pattern, full = _placed(left, places, unit, capacity)
+                if not (full or not whole and pattern):
+                    break
+                times = min(wanted, left.times(pattern))
+                left.take(pattern, times)
+                if not full:
+                    more = left.fill(capacity - sum(n * a for n, a in pattern.items()))
+                    left.take(more, 1)
+                    pattern = {n: pattern.get(n, 0) + more.get(n, 0) for n in pattern | more}
+                out.append((pattern, times))
+                wanted -= times
+    return out
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The longest piece left that fits, again and again; what plans are measured against."""
+    counts, out = counts.copy(), []
+    while (lengths := np.flatnonzero(counts)).size:
         pattern: dict[int, int] = {}
-        left.fill(capacity, pattern)
-        times = left.times(pattern)
+        room = capacity
+        for n in lengths[::-1].tolist():
+            if take := min(int(counts[n]), room // n):
+                pattern[n] = take
+                room -= take * n
+        times = min(int(counts[n]) // a for n, a in pattern.items())
         out.append((pattern, times))
-        left.take(pattern, times)
+        for n, a in pattern.items():
+            counts[n] -= a * times
     return out
 
 
 def rounded(counts: np.ndarray, capacity: int, unit: int | None = None) -> list[tuple[dict[int, int], int]]:
-    """``large_program`` rounded to whole sequences: down at first, then once more each by falling remainder while the pieces last.
+    """Patterns and how many sequences each makes; together they hold exactly ``counts``.
 
-    A pattern's places are taken by the longest pieces of their sizes, and its room by best fit; the rest is packed by best fit.
+    Every piece above a sixteenth of a sequence has its place by the program. The shorter ones fill the room left, the fullest
+    sequences first, and then sequences of their own.
     """
-    program, unit, _ = large_program(counts, capacity, unit)
-    left, out = _Left(counts), []
-    for places, wanted in [(p, int(x)) for p, x in sorted(program, key=lambda p: -p[1])] + [(p, 1) for p, x in sorted(program, key=lambda p: int(p[1]) - p[1]) if x % 1 > 1e-3]:
-        while wanted > 0:
-            pattern: dict[int, int] = {}
-            whole = True
-            for size, number in sorted(places.items(), reverse=True):
-                high = bisect.bisect_right(left.lengths, size * unit)
-                while number and high and left.lengths[high - 1] > (size - 1) * unit:
-                    length = left.lengths[high - 1]
-                    take = min(number, int(left.counts[length]))
-                    pattern[length] = take
-                    number -= take
-                    high -= 1
-                whole = whole and not number
-            if not whole:
-                break
-            left.fill(capacity - sum(n * a for n, a in pattern.items()), pattern)
-            times = min(wanted, left.times(pattern))
-            out.append((pattern, times))
-            left.take(pattern, times)
+    sequences = sorted(_large(counts, capacity, unit), key=lambda p: -sum(n * a for n, a in p[0].items()))
+    left, out = _Left(np.where(np.arange(len(counts)) <= capacity // 16, counts, 0)), []
+    for pattern, wanted in sequences:
+        room = capacity - sum(n * a for n, a in pattern.items())
+        while wanted:
+            if more := left.fill(room):
+                times = min(wanted, left.times(more))
+                left.take(more, times)
+            else:
+                times = wanted
+            out.append((pattern | more, times))
             wanted -= times
-    return out + best_fit(left, capacity)
+    while left.lengths:
+        pattern = left.fill(capacity)
+        times = left.times(pattern)
+        out.append((pattern, times))
+        left.take(pattern, times)
+    return out
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Patterns and how many sequences each makes; together they hold exactly ``counts``. Best fit alone serves where it needs fewer."""
-    return min(rounded(counts, capacity), best_fit(_Left(counts), capacity), key=lambda p: sum(t for _, t in p))
+    """The packing of all pieces, by the rounded program."""
+    return rounded(counts, capacity)
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

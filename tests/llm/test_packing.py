@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +58,47 @@ def test_plans_hold_all_pieces_in_few_sequences(seed):
     assert sum(t for _, t in plan) <= 1.1 * -(-int((counts * np.arange(257)).sum()) // 256) + 2
 
 
+def test_program_of_3000_sizes_ends_beside_a_live_session(spark):
+    assert spark.range(1).count() == 1
+    counts = np.zeros(4097, np.int64)
+    counts[1000:4000] = np.arange(3000) % 7 + 1
+    began = time.monotonic()
+    done = threading.Event()
+    plans = []
+    threading.Thread(target=lambda: (plans.append(packing.plan(counts, 4096)), done.set()), daemon=True).start()
+    assert done.wait(120), "the program did not end"
+    assert time.monotonic() - began < 120
+    assert held_by(plans[0]).tolist() == counts.tolist()
+
+
+def test_inverse_without_blas():
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((60, 60)) < 0.1, rng.integers(-2, 5, (60, 60)), 0) + np.diag(rng.integers(6, 9, 60)).astype(float)
+    assert np.abs(packing._inverted(a)[:, :] @ a - np.eye(60)).max() < 1e-9
+
+
+def held_by(plan, capacity=4096):
+    held = np.zeros(capacity + 1, np.int64)
+    for pattern, times in plan:
+        assert sum(n * a for n, a in pattern.items()) <= capacity
+        for n, a in pattern.items():
+            held[n] += a * times
+    return held
+
+
+def test_all_large_pieces_of_the_corpus_are_placed_by_patterns(spark):
+    counts = np.zeros(4097, np.int64)
+    for r in packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    large = packing._large(counts, 4096, None)
+    assert held_by(large)[257:].tolist() == counts[257:].tolist() and held_by(large)[:257].sum() == 0
+    plan = packing.plan(counts, 4096)
+    assert held_by(plan).tolist() == counts.tolist()
+    total = int((counts * np.arange(4097)).sum())
+    assert sum(t for _, t in plan) <= sum(t for _, t in packing.best_fit(counts, 4096))
+    assert sum(t for _, t in plan) == -(-total // 4096)
+
+
 def test_pricing_is_an_exact_knapsack():
     weights = np.array([-1, 1.0, 2.1, 3.0, -1, 5.4])
     assert packing.price(weights) == {5: 1}
