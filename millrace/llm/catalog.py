@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+from millrace.llm import chat_format, conversation_repair, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(rows))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_repairs(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, pipeline)
+    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, op11_conversation_repair, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,6 +84,26 @@ def _distance(name: str, share: str) -> str:
            FROM {share} s JOIN {name}_q USING (language, bin) GROUP BY doc_id)"""
 
 
+
+def _least(*candidates: str) -> str:
+    return f"list_sort([{', '.join(candidates)}])[1]"
+
+
+def _edit(state: int, cost: str, letter: str, told: str | None = None) -> str:
+    """The best way to a state (from 1) of ``s``, one edit longer."""
+    text = f"s[{state}].r || [{told}]" if told else f"s[{state}].r"
+    return f"{{'c': s[{state}].c + {cost}, 'a': s[{state}].a || '{letter}', 'r': {text}}}"
+
+
+#: Two rounds of inserted rows over the ways ``s`` to the states nothing, system, user, assistant.
+_USER, _ASSISTANT = "'user:'", "'assistant:'"
+_INSERT = f"[s[1], s[2], {_least('s[3]', *(_edit(k, '3', 'I', _USER) for k in (1, 2, 4)))}, {_least('s[4]', _edit(3, '3', 'I', _ASSISTANT))}]"
+_STEP = f"""[{_edit(1, '4', 'D')},
+ {_least(_edit(2, '4', 'D'), _edit(1, "keep + if(x = 's', 0, 1000000000)", 'K', "role || ':' || text"))},
+ {_least(_edit(3, '4', 'D'), *(_edit(k, "keep + if(x = 'u', 0, 1000000000)", 'K', "role || ':' || text") for k in (1, 2, 4)), *(_edit(k, 'keep + 3', 'R', "'user:' || text") for k in (1, 2, 4)))},
+ {_least(_edit(4, '4', 'D'), _edit(3, "keep + if(x = 'a', 0, 1000000000)", 'K', "role || ':' || text"), _edit(3, 'keep + 3', 'R', "'assistant:' || text"))}]"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality_rules.LANGUAGES!r} THEN lang ELSE 'other' END AS language,
@@ -137,4 +161,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(role) + length(safe) + 25) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE k AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations),
+c AS (SELECT *, xor(list_reduce(bytes, lambda c, b: list_reduce(range(8), lambda z, i: xor(z >> 1, CAST(3988292384 AS BIGINT) * (z & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+o AS (SELECT *, substr(role, 1, 1) AS x, row_number() OVER w AS i, lag(substr(role, 1, 1)) OVER w AS before,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+r AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 3 ELSE 1000000000 END AS keep FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+w(conv_id, i, s) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), s FROM (SELECT conv_id, {_INSERT} AS s FROM (SELECT conv_id, {_INSERT} AS s FROM (SELECT DISTINCT conv_id,
+    [{{'c': CAST(0 AS BIGINT), 'a': '', 'r': CAST([] AS VARCHAR[])}}, {{'c': 1000000000, 'a': '', 'r': []}}, {{'c': 1000000000, 'a': '', 'r': []}}, {{'c': 1000000000, 'a': '', 'r': []}}] AS s FROM conversations)))
+  UNION ALL
+  SELECT conv_id, i, {_INSERT} FROM (SELECT conv_id, i, {_INSERT} AS s FROM (SELECT w.conv_id, r.i, {_STEP} AS s FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+l AS (SELECT conv_id, list_sort([s[1], s[4]])[1] AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM l LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM l.conv_id""",
 }
