@@ -190,11 +190,12 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, disclosure: float = DISC
 
 def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, least: int = LEAST_CONTEXTS) -> DataFrame:
     """The columns of ``docs``, pii_<kind> for each kind, and pii_term."""
-    based = stored(with_base(docs), "based")  # the patterns are matched once
+    # Only rows that hold a span are stored, so the patterns are matched again for the others: twice the matching, none of their texts on disk.
     any_span = sum(F.size(f"pii_{k}") for k in KINDS) > 0
-    held = based.where(any_span)  # few
-    others = based.where(~any_span).withColumn("pii_term", F.array().cast(_SPAN))
-    terms = disclosing_terms(held, based.select("text").where("text is not null"), disclosure, least)
+    based = with_base(docs).select("*", F.explode(F.array(any_span)).alias("pii_any"))  # a generated column keeps filters above the spans
+    held = stored(based.where("pii_any").drop("pii_any"), "held")
+    others = based.where("not pii_any").drop("pii_any").withColumn("pii_term", F.array().cast(_SPAN))
+    terms = disclosing_terms(held, docs.select("text").where("text is not null"), disclosure, least)
     if terms is None or not terms.take(1):
         return others.unionByName(held.withColumn("pii_term", F.array().cast(_SPAN)))
     # Each distinct text with entities gets their terms, and its words are joined with them.
