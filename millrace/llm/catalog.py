@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, conversation_repair, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+from millrace.llm import chat_format, conversation_repair, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_repairs(_table(spark, sf_dir, "conversations"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, op11_conversation_repair, pipeline)
+    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, op11_conversation_repair, op13_secret_scan, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
