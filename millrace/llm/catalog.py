@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, conversation_repair, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup, url_filter
+from millrace.llm import chat_format, conversation_repair, decontamination, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, source_audit, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_repairs(_table(spark, sf_dir, "conversations"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, op11_conversation_repair, op13_secret_scan, pipeline)
+    for f in (op1_quality_rules, op2_url_filter, op3_suffix_dedup, op4_ngram_join, op5_html_extract, op6_pii, op7_decontamination, op8_packing, op9_quality_classifier, op10_chat_format, op11_conversation_repair, op12_source_audit, op13_secret_scan, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -186,4 +190,19 @@ l AS (SELECT conv_id, list_sort([s[1], s[4]])[1] AS best FROM w QUALIFY row_numb
 SELECT l.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
        best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
 FROM l LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM l.conv_id""",
+    "op12_source_audit": rf"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT d, lang, source, unnest(w) AS w FROM d),
+k AS (SELECT lang, w, count(*) AS n FROM t GROUP BY lang, w HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, w, count(*) AS n FROM t SEMI JOIN k USING (lang, w) GROUP BY lang, source, w),
+g AS (SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.w, coalesce(c.n, 0) AS count, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.n + g.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (v.n + v.v) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, w)),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+      UNION ALL SELECT a.lang, a.source, 'pair', b.source, sum((a.p - b.p) * (a.p - b.p) // b.p) FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+      UNION ALL SELECT lang, source, 'term', w, (p - q) * (p - q) // q FROM p WHERE count > 0 AND p > q),
+o AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200""",
 }

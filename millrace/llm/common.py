@@ -137,10 +137,11 @@ _SPACE[[32, *range(9, 14)]] = True
 
 
 class Words:
-    """The words ([^\\x20\\x09-\\x0D]+) of all texts of a cut: start, end (bytes), doc (row), and where each doc's words begin."""
+    """The words ([^\\x20\\x09-\\x0D]+, or runs of bytes that are not ``outside``) of all texts of a cut: start, end (bytes), doc (row), and
+    where each doc's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE):
+        inside = ~outside[data]
         before = np.zeros(len(data) + 1, bool)
         before[1:] = inside
         before[offsets] = False
