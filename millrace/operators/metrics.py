@@ -69,8 +69,3 @@ def observed_write(rows: DataFrame, path: str, **counters: Column) -> dict:
     rows.observe(seen, *(c.alias(n) for n, c in counters.items())).write.parquet(path)
     return seen.get
 
-
-def error_summary(errors: Column, n: int = 20) -> Column:
-    """The first ``n`` of an array of errors on lines, and how many more there are."""
-    more = F.size(errors) - n
-    return F.when(more > 0, F.concat(F.array_join(F.slice(errors, 1, n), "\n"), F.lit("\n... and "), more.cast("string"), F.lit(" more"))).otherwise(F.array_join(errors, "\n"))

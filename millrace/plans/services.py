@@ -62,16 +62,16 @@ def iterator_by_last_modified(spark, sf_dir):
 
 @query("""
 SELECT 'record' AS what, s_suppkey AS id, s_name AS text FROM supplier
-UNION ALL SELECT 'STOPPED', CAST(least(8, count(*)) AS BIGINT), 'first' FROM supplier UNION ALL SELECT 'SUCCESS', CAST(greatest(count(*) - 8, 0) AS BIGINT), 'second' FROM supplier
-UNION ALL SELECT 'RUNNING', CAST((count(*) + 3) // 4 AS BIGINT), 'batches' FROM supplier""")
+UNION ALL SELECT 'STOPPED', CAST(least(7, count(*)) AS BIGINT), 'first' FROM supplier UNION ALL SELECT 'SUCCESS', CAST(greatest(count(*) - 7, 0) AS BIGINT), 'second' FROM supplier
+UNION ALL SELECT 'RUNNING', CAST((count(*) + 6) // 7 AS BIGINT), 'batches' FROM supplier""")
 def stopped_and_resumed_run(spark, sf_dir):
-    """A run over a stream with offsets, four records a checkpoint, stopped after two checkpoints; a second run goes on where it was."""
+    """A run over a stream with offsets, seven records a checkpoint, stopped after one; a second run goes on where it was."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("item"))
     path, out = workspace(spark, "service"), workspace(spark, "run")
     low = rows.agg(F.min("n")).first()[0]
-    _stored(rows, path, 7, F.floor((F.col("n") - low) / 7) + 1, "[]")
-    options = {"sizes": "7", "items": "", "key": "id", "saveEvery": "4"}
-    paged.collect_run(spark, path, out, "first", stop_after=2, **options)
+    _stored(rows, path, 6, F.floor((F.col("n") - low) / 6) + 1, "[]")
+    options = {"sizes": "6", "items": "", "key": "id", "saveEvery": "7"}
+    paged.collect_run(spark, path, out, "first", stop_after=1, **options)
     paged.collect_run(spark, path, out, "second", **options)
     records = spark.read.parquet(f"{out}/records").select(F.lit("record").alias("what"), F.col("key").cast("bigint").alias("id"), F.get_json_object("item", "$.name").alias("text"))
     progress = spark.read.parquet(f"{out}/progress")
