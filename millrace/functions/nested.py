@@ -121,3 +121,45 @@ def first_number(j: Column, *names: str) -> Column:
 def first_text(j: Column, *names: str) -> Column:
     """The first of several keys that holds a text which is not blank."""
     return F.coalesce(*(F.nullif(F.trim(get(j, n)), F.lit("")) for n in names))
+
+
+#: Keys that a stored schema may have at its top (the last two hold names), and keys that it has nowhere.
+SCHEMA_KEYS = ("schema", "features", "fields", "columns", "splits", "metadata_block_names", "citation_field_names")
+NAME_KEYS = ("metadata_block_names", "citation_field_names")
+SCHEMA_BANNED = (
+    "describedby", "described_by", "describedbytype", "described_by_type", "bureaucode", "bureau_code", "programcode", "program_code",
+    "updatefrequency", "update_frequency", "resource_type", "sections",
+)
+
+
+def _unbanned(value):
+    if isinstance(value, dict):
+        kept = {k.strip(): _unbanned(v) for k, v in value.items() if k.strip() and k.strip().lower().replace("-", "").replace("_", "") not in SCHEMA_BANNED and k.strip() not in SCHEMA_BANNED}
+        return {k: v for k, v in kept.items() if v is not None} or None
+    if isinstance(value, list):
+        return [v for v in map(_unbanned, value) if v is not None] or None
+    return value
+
+
+@F.pandas_udf(T.StringType())
+def schema_json(s: pd.Series) -> pd.Series:
+    """A schema as it is stored: the allowed keys at its top, objects and lists alone (names: distinct texts), no banned key, nothing empty."""
+
+    def one(x):
+        try:
+            value = _pruned(json.loads(x), frozenset())
+        except (TypeError, ValueError):
+            return None
+        out = {}
+        for key in SCHEMA_KEYS if isinstance(value, dict) else ():
+            found = _pruned(_unbanned(value.get(key)), frozenset())
+            if key in NAME_KEYS:
+                names = {}
+                for n in found if isinstance(found, list) else []:
+                    names.setdefault(str(n).strip().lower(), str(n).strip())
+                found = [n for n in names.values() if n]
+            if isinstance(found, dict | list) and found:
+                out[key] = found
+        return json.dumps(out, sort_keys=True, ensure_ascii=False, separators=(",", ":")) if out else None
+
+    return s.map(one)

@@ -1,5 +1,7 @@
 """Numbers, booleans, sizes and scores: Column to Column."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,10 +139,19 @@ LICENSE_ALLOWS = (
 )
 
 
+#: Edges of words in any alphabet, and of any regular expression engine.
+_EDGES = (r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])")
+
+
+def license_pattern(words: tuple[str, ...]) -> str:
+    """One pattern for license words, with edges that hold beside letters of any alphabet."""
+    return "|".join(re.sub(r"\\b$", lambda _: _EDGES[1], re.sub(r"^\\b", lambda _: _EDGES[0], w)) for w in words)
+
+
 def commercial_use(license_name: Column, license_url: Column | None = None) -> Column:
     """Whether a license allows commercial use; denials first, null where it does not say."""
     name = F.lower(F.concat_ws(" ", license_name, *([] if license_url is None else [license_url])))
-    return F.when(name.rlike("|".join(LICENSE_DENIES)), F.lit(False)).when(name.rlike("|".join(LICENSE_ALLOWS)), F.lit(True))
+    return F.when(name.rlike(license_pattern(LICENSE_DENIES)), F.lit(False)).when(name.rlike(license_pattern(LICENSE_ALLOWS)), F.lit(True))
 
 
 #: Hints of a Korean catalogue that commercial use is forbidden, or allowed.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: What counts as white space.
 _BLANKS = r"[\s\p{Z}\x{85}]+"
+_ENDS = r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$"
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 _NAMES = json.dumps({n: chr(c) for n, c in (*name2codepoint.items(), ("apos", 39))})
 
@@ -52,7 +53,7 @@ def html_text(x: Column) -> Column:
 
 def lines(x: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(unescape(x), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(unescape(x), r"\r?\n"), lambda s: F.regexp_replace(s, _ENDS, "")), lambda s: s != "")
 
 
 def first_sentence(x: Column, longest: int = 240) -> Column:
@@ -69,8 +70,8 @@ def clip(x: Column, n: int) -> Column:
 def clip_display(x: Column, n: int) -> Column:
     """Line ends unified, at most one empty line in a row, no blanks at line ends, clipped."""
     text = F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    text = F.trim(text)
-    return F.when(F.char_length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 3)), F.lit("..."))).otherwise(text)
+    text = F.regexp_replace(text, _ENDS, "")
+    return F.when(F.char_length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n - 3), r"[\s\p{Z}]+$", ""), F.lit("..."))).otherwise(text)
 
 
 def tokens(x: Column) -> Column:
@@ -282,3 +283,25 @@ def failure_summary(dataset: Column, openapi: Column) -> Column:
 def cut(x: Column, longest: int) -> Column:
     """The first ``longest`` characters, without a mark that there were more."""
     return F.substring(x, 1, longest)
+
+
+def labelled(label: str, x: Column) -> Column:
+    """``label: value`` on a line; null where there is no value."""
+    return F.concat(F.lit(f"{label}: "), F.nullif(F.trim(x), F.lit("")))
+
+
+def labelled_list(label: str, a: Column) -> Column:
+    """``label: a, b`` of the items that are not blank; null where there are none."""
+    kept = F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    return F.when(F.size(kept) > 0, F.concat(F.lit(f"{label}: "), F.array_join(kept, ", ")))
+
+
+def labelled_json(label: str, x: Column) -> Column:
+    """``label: json`` of a struct, map or array; null where that is empty."""
+    shown = F.to_json(x)
+    return F.when(~shown.isin("{}", "[]"), F.concat(F.lit(f"{label}: "), shown))
+
+
+def joined_lines(*parts: Column) -> Column:
+    """The parts that there are, a line each."""
+    return F.concat_ws("\n", *(F.nullif(F.trim(p), F.lit("")) for p in parts))

@@ -73,3 +73,31 @@ def run_counters(events: DataFrame, most: int = 20) -> DataFrame:
     more = F.when(F.col("failed") > most, F.concat(F.lit("\n... and "), F.col("failed") - most, F.lit(" more"))).otherwise("")
     status = F.when(F.col("failed") == 0, "SUCCESS").when(F.col("upserted") > 0, "PARTIAL_SUCCESS").otherwise("FAILED")
     return counts.join(errors, "user_id", "left").select("user_id", "collected", "upserted", "failed", F.concat(records.error_summary(texts, most), more).alias("summary"), status.alias("status"))
+
+
+#: The bounds of a rating.
+RATING = (1, 5)
+
+
+def guarded(page: int = 0, size: int = 10, rating: int | None = None, **ids: int) -> None:
+    """Raises ValueError for a request that asks for what there cannot be: a negative page, no rows, ratings out of bounds, ids below 1."""
+    if page < 0 or size <= 0:
+        raise ValueError("page must not be negative, and size must be positive")
+    if rating is not None and not RATING[0] <= rating <= RATING[1]:
+        raise ValueError(f"rating must be {RATING[0]} to {RATING[1]}")
+    for name, value in ids.items():
+        if value <= 0:
+            raise ValueError(f"{name} must be positive")
+
+
+def valid_rating(x: Column) -> Column:
+    """Whole ratings within the bounds."""
+    return F.coalesce(x.between(*RATING) & (x == F.floor(x)), F.lit(False))
+
+
+def detail(rows: DataFrame, joined: dict[str, tuple[DataFrame, str]], key: str, *columns: str) -> DataFrame:
+    """The detail view of rows: ``columns``, and for each name in ``joined`` (frame, column) the distinct values of that column, sorted."""
+    out = rows.select(key, *columns)
+    for name, (more, column) in joined.items():
+        out = out.join(more.groupBy(key).agg(F.array_sort(F.collect_set(column)).alias(name)), key, "left")
+    return out

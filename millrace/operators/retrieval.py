@@ -66,3 +66,16 @@ def ranked(resources: DataFrame, n: int = CANDIDATES, least: float = LEAST_SCORE
     order = [F.col("score").desc(), F.col("pre_score").desc(), F.col("similarity").desc(), F.col("resource_id").asc()]
     best = resources.where(F.col("score") >= least).orderBy(*order).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def active(rows: DataFrame, status: str = "status", embedding: str | None = None) -> DataFrame:
+    """Rows in use: of status ACTIVE and, where a vector is asked for, with one."""
+    found = rows.where(F.col(status) == "ACTIVE")
+    return found if embedding is None else found.where(F.col(embedding).isNotNull())
+
+
+def group_texts(chunks: DataFrame, description: str = "DESCRIPTION") -> DataFrame:
+    """Per resource: best similarity, the text of the nearest chunk, and the first text of its ``description`` chunks (nearest first)."""
+    order = F.struct(-F.col("similarity"), F.col("chunk_id"))
+    told = F.when(F.col("chunk_type") == description, F.struct((-F.col("similarity")).alias("s"), "chunk_id", "chunk_text"))
+    return chunks.groupBy("resource_id").agg(F.max("similarity").alias("similarity"), F.min_by("chunk_text", order).alias("best_text"), F.min(told)["chunk_text"].alias("description"))

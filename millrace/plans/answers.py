@@ -23,15 +23,15 @@ def markdown_answers(spark, sf_dir):
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, trim(replace(substr(text, 1, 900), chr(10), ' ')) AS t FROM documents),
+WITH s AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS t FROM documents),
 n AS (SELECT doc_id, t, CAST(floor(length(t) / 2) AS BIGINT) AS m FROM s),
 w AS (SELECT *, substr(t, greatest(m - 60, 0) + 1, least(m + 60, length(t)) - greatest(m - 60, 0)) AS part FROM n),
 c AS (SELECT *, CASE WHEN contains(part, ' ') THEN greatest(m - 60, 0) + length(part) - strpos(reverse(part), ' ') END AS cut_at FROM w)
 SELECT doc_id, CASE WHEN length(t) > 220 AND cut_at > 0 AND trim(substr(t, 1, cut_at)) <> '' AND trim(substr(t, cut_at + 2)) <> '' THEN trim(substr(t, 1, cut_at)) || chr(10) || chr(10) || trim(substr(t, cut_at + 2)) ELSE t END AS parted,
   CASE WHEN length(t) > 220 AND cut_at > 0 THEN 2 ELSE 1 END AS paragraphs FROM c""")
 def long_text_parts(spark, sf_dir):
-    """Long texts cut to two paragraphs near their middle. (A card's text is its first 900 characters.)"""
-    t = F.trim(F.replace(F.substring("text", 1, 900), F.lit("\n"), F.lit(" ")))
+    """Long texts cut to two paragraphs near their middle."""
+    t = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     parted = text.split_long(t)
     return table(spark, sf_dir, "documents").select("doc_id", parted.alias("parted"), F.size(F.split(parted, "\n\n")).alias("paragraphs"))
 

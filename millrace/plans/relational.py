@@ -33,10 +33,15 @@ def setops_intersect_except(spark, sf_dir):
     return c.intersect(o).withColumn("side", F.lit("both")).unionByName(c.subtract(o).withColumn("side", F.lit("none")))
 
 
-@query()
+@query("SELECT l_returnflag, true AS parts_near, true AS median_near, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def approx_distinct_and_quantiles(spark, sf_dir):
-    """Sketches: distinct counts and quantiles."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5, 1000).alias("median"))
+    """Sketches: distinct counts within a tenth, and quantiles within a hundredth of the ranks, of the exact ones."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.03).alias("parts"), F.percentile_approx("l_quantity", 0.5, 1000).alias("median"), F.countDistinct("l_partkey").alias("exact"),
+        F.percentile("l_quantity", F.array(F.lit(0.49), F.lit(0.51))).alias("around"), F.count("*").alias("n"),
+    )
+    near = F.col("median").between(F.floor(F.col("around")[0]), F.ceil(F.col("around")[1]))
+    return rows.select("l_returnflag", (F.abs(F.col("parts") - F.col("exact")) <= 0.1 * F.col("exact")).alias("parts_near"), near.alias("median_near"), "n")
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")

@@ -114,11 +114,12 @@ def access_type_precedence(spark, sf_dir):
 
 
 @query(rf"""
-WITH l AS (SELECT doc_id, lower(text) AS t FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(numbers.LICENSE_DENIES)}') THEN false WHEN regexp_matches(t, '{"|".join(numbers.LICENSE_ALLOWS)}') THEN true END AS commercial FROM l""")
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, line, lower(line) AS t FROM l WHERE regexp_matches(lower(line), 'licen[cs]e|lizenz|licencia|라이선스'))
+SELECT doc_id, line, CASE WHEN regexp_matches(t, '{numbers.license_pattern(numbers.LICENSE_DENIES)}') THEN false WHEN regexp_matches(t, '{numbers.license_pattern(numbers.LICENSE_ALLOWS)}') THEN true END AS commercial FROM n""")
 def license_commercial_use(spark, sf_dir):
-    """Commercial use from license lines."""
-    return table(spark, sf_dir, "documents").select("doc_id", numbers.commercial_use(F.col("text")).alias("commercial"))
+    """Commercial use from the license lines of texts."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.lower("line").rlike("licen[cs]e|lizenz|licencia|라이선스")).select("doc_id", "line", numbers.commercial_use(F.col("line")).alias("commercial"))
 
 
 @query("SELECT doc_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {any_of('lower(text)', w)} THEN '{n}' END" for n, w in numbers.MODALITIES.items()) + "), '') AS modalities FROM documents")
@@ -171,13 +172,19 @@ def near_exact_copy_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(t.alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query()
+@query("""
+SELECT p_partkey, p_partkey AS id, CAST(1 AS INTEGER) AS rank, CASE WHEN p_size > 1 THEN round(least(1.0, p_size / 100.0), 3) ELSE CAST(p_size AS DOUBLE) END AS score, p_name || ' {' || p_type || '}' AS reason FROM part WHERE p_partkey % 7 > 0""")
 def llm_output_decode(spark, sf_dir):
     """Ranked items out of a model's answers: fences, chatter and trailing commas apart, unknown ids dropped, first of each id kept."""
-    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    answer = F.concat(F.lit('Here you are:\n```json\n{"items": [{"id": '), F.col("region.r_regionkey") + 1, F.lit(', "rank": 1, "score": 87, "reason": "fits"}, {"id": 999999999, "rank": 2, "score": 0.5, "reason": "made up"},]}\n```'))
-    regions = table(spark, sf_dir, "region").alias("region")
-    rows = regions.select("r_regionkey", F.posexplode(nested.ranked_items(answer)).alias("position", "item")).select("r_regionkey", "position", "item.*")
-    known = rows.join(ids, "id", "left_semi")
-    first = tables.latest(known, ["r_regionkey", "id"], F.asc("position"))
-    return first.select("r_regionkey", "id", "rank", numbers.unit_score(F.col("score")).alias("score"), "reason")
+    p = table(spark, sf_dir, "part")
+    ids = p.select(F.col("p_partkey").alias("id"))
+    key = F.col("p_partkey").cast("string")
+    reason = F.concat("p_name", F.lit(" {"), "p_type", F.lit("}"))
+    answer = F.concat(
+        F.lit('Here you are:\n```json\n{"items": [{"id": '), key, F.lit(', "rank": 1, "score": '), F.col("p_size").cast("string"), F.lit(', "reason": "'), reason,
+        F.lit('"}, {"id": 999999999, "rank": 2, "score": 0.5, "reason": "made up"}, {"id": '), key, F.lit(', "rank": 3, "score": 0, "reason": "again"},]}\n``` Bye }'),
+    )
+    answer = F.when(F.col("p_partkey") % 7 == 0, F.lit('{"items": [{"id": 1, ')).otherwise(answer)  # cut off
+    rows = p.select("p_partkey", F.posexplode(nested.ranked_items(answer)).alias("position", "item")).select("p_partkey", "position", "item.*")
+    first = tables.latest(rows.join(ids, "id", "left_semi"), ["p_partkey", "id"], F.asc("position"))
+    return first.select("p_partkey", "id", "rank", numbers.unit_score(F.col("score")).alias("score"), "reason")

@@ -4,7 +4,7 @@ import json
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +97,21 @@ def decoded(s: pd.Series) -> pd.Series:
     return s.map(lambda b: None if b is None else one(b))
 
 
+def locale_variants(url: Column) -> Column:
+    """The addresses to try for a list page: as given, and in the other language (with or without /en)."""
+    path = F.regexp_extract(url, "^[^:]+://[^/]+([^?#]*)", 1)
+    other = F.when(path.contains("/en/"), F.regexp_replace(url, "^([^:]+://[^/]+[^?#]*?)/en/", "$1/")).when(path.startswith("/tcs/"), F.regexp_replace(url, "^([^:]+://[^/]+)/", "$1/en/"))
+    return F.array_distinct(F.array_compact(F.array(url, other)))
+
+
+def crawl_lists(pages: DataFrame, key: str, page: str, start: int) -> DataFrame:
+    """Keys of list pages from ``start`` on, each with its first page; from page 1 where ``start`` and what follows have none."""
+    late = pages.where(F.col(page) >= start)
+    any_late = late.agg((F.count(key) > 0).alias("_any"))
+    seen = pages.join(F.broadcast(any_late), ~F.col("_any") | (F.col(page) >= start)).drop("_any")  # one row
+    return seen.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(page).alias(page))
+
+
 def detail_links(pages: DataFrame, column: str, pattern: str, key: str) -> DataFrame:
     """The distinct detail links of list pages, each with its key and the first page that has it."""
     found = links(pages, column, pattern).withColumn("source_key", F.regexp_extract("link", key, 1)).where("source_key <> ''")
