@@ -4,6 +4,7 @@ Text operators get Arrow batches, cut them to a few megabytes of text (``text_ch
 NumPy: no loop over characters or words, and memory bounded by the cut (or by one text, where a single text is longer).
 """
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +32,31 @@ def workspace(spark: SparkSession, name: str) -> str:
 
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    if _RECORDING:
+        _OF_STAGES.append(path)
+    return path
+
+
+#: Intermediate tables of pipeline stages that are not dropped yet, and whether a stage is at work.
+_OF_STAGES: list[str] = []
+_RECORDING: list[bool] = []
+
+
+def staged(stage):
+    """A pipeline stage (spark, docs, sf_dir) that first drops the intermediate tables of the stages before it: their results are stored by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _OF_STAGES:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_OF_STAGES.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _RECORDING.append(True)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _RECORDING.pop()
+
+    return functools.wraps(stage)(run)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -348,17 +348,19 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     # Large blocks: tiles.
     large = postings.where(F.col("m") > SMALL)
-    cuts = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    placed = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     in_large = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # no more than the prefix has
     marks = of_texts(in_large.select("node"), _bitmaps(size, TILE_BYTES), "node long, bitmap binary, n long", "bitmaps")
     marks = stored(in_large.join(marks.select("node", "bitmap"), "node"), "marks")
 
     def tile_pairs(labels: DataFrame, forest: bool, before: DataFrame | None) -> DataFrame:
         """Pairs of tiles; only of those that had any in the round ``before``, since merging groups makes no new ones."""
-        rows = placed.join(labels.withColumnRenamed("label", "grp"), "node")
+        rows = large.join(labels.withColumnRenamed("label", "grp"), "node")
+        split = rows.groupBy("key").agg((F.min("grp") < F.max("grp")).alias("split")).where("split").select("key")  # a block of one group is done
+        rows = rows.join(split, "key", "left_semi")
+        cuts = F.ceil(F.col("m") / TILE).cast("int")
+        own = F.pmod(F.xxhash64("node"), cuts).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", "grp", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
         if before is not None:
             rows = rows.join(before.select("key", "low", "high").distinct(), ["key", "low", "high"], "left_semi")
         mixed = rows.groupBy("key", "low", "high").agg((F.min("grp") < F.max("grp")).alias("mixed")).where("mixed").drop("mixed")  # the others have nothing to tell
