@@ -1,13 +1,13 @@
 """From raw documents to packed training sequences: five stages, each over all that its predecessor kept.
 
-A stage is (name, function) and takes (spark, docs, sf_dir). It is written as Parquet and read again before the next one. All but the
-last return the columns of ``documents``.
+A stage is (name, function) and takes (spark, docs, sf_dir). It is written as Parquet and read again before the next one, which then drops
+the intermediate tables of those before it. All but the last return the columns of ``documents``.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, ngram_join, packing, pii, quality_classifier
-from millrace.llm.common import workspace
+from millrace.llm.common import staged, workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_classifier", quality),
-    ("ngram_join", near_duplicates),
-    ("decontamination", decontaminate),
-    ("pii", personal_data),
-    ("packing", pack),
+    ("quality_classifier", staged(quality)),
+    ("ngram_join", staged(near_duplicates)),
+    ("decontamination", staged(decontaminate)),
+    ("pii", staged(personal_data)),
+    ("packing", staged(pack)),
 ]
 
 #: SQL cannot express the classifier, the tokeniser and the packing; tests compare the stages with brute force.
