@@ -39,8 +39,8 @@ FINEST = 512
 STALLED = 2000
 #: Units by which the piece in a place of a pattern may be longer than the place.
 WIDER = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 150_000
+#: Words whose ids a worker remembers (some 150 bytes each).
+CACHE_WORDS = 400_000
 
 #: ASCII marks that, at the end of a word and after a letter, are a token run of their own (not ' and >, which may end other tokens).
 _MARK = np.zeros(256, bool)
