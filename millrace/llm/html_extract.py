@@ -2,14 +2,15 @@
 
 1. Each page's tree of block elements is read by one pass over its tags; text runs are leaves, inside an article (or main)
    element too.
-2. Pages of one host share a wrapper. Each of the host's ``LAYOUTS`` most common layouts (the paths of elements outside articles) has its
-   page of smallest id as reference; every other page is aligned to that of its layout, or to the most common one's, by simple tree matching
+2. Pages of one host share a wrapper. Each layout of the host (the paths of elements outside articles) that LEAST_PAGES pages have, and its most
+   common one, has its page of smallest id as reference; every other page is aligned to that of its layout, or to the most common one's, by simple tree matching
    (a largest number of nodes of equal label in order, children by dynamic programming, equal subtrees before others). Leaves aligned with
    one reference node vote with their text; one text with ``SHARE`` of the votes, from ``LEAST_PAGES`` pages that differ (in their articles,
    where they have any), makes the node constant: template. A leaf inside an article counts by stories
    instead: a page's story is the longest other leaf of its article, and a text at one node is constant if it stands beside SHARE of all
    stories of the host, and LEAST_PAGES of them. So stories that are repeated, with changes or without, are no template.
-   Votes are counted by partial aggregation, so a host may have any share of all pages.
+   Votes are counted exactly, in two aggregations with partial ones before them, and a layout's pages meet its reference in salted parts, so a
+   host may have any share of all pages.
 3. Extraction: leaves in elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are left
    out, by tag or by class and id words. If the page has an article (or main) with text, the text is that; otherwise that of the page; of either, the varying slots.
    A host's template is a set of 64-bit keys of (path, text); hosts with one are joined by broadcast up to BROADCAST_ROWS keys.
@@ -37,8 +38,8 @@ from millrace.llm.url_filter import host_and_path
 SHARE = 0.5
 LEAST_PAGES = 3
 BROADCAST_ROWS = 200_000
-#: Layouts of a host that have a reference of their own.
-LAYOUTS = 3
+#: Parts that the pages of a host's layout are dealt to where they meet their reference.
+SALTS = 16
 #: Cells of an alignment table held at once.
 TABLE_CELLS = 1 << 20
 #: Pairs of shapes whose matching a worker remembers.
@@ -416,19 +417,27 @@ def wrappers(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -
     shape = F.struct("depths", "labels", "keys")
     found = trees.groupBy("host", "layout").agg(F.min_by(shape, F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("r"), F.count("*").alias("n"))
     common = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "layout"))
-    found = found.withColumn("pages", F.sum("n").over(Window.partitionBy("host"))).withColumn("nth", common).where((F.col("pages") >= least) & (F.col("nth") <= LAYOUTS))
+    found = found.withColumn("pages", F.sum("n").over(Window.partitionBy("host"))).withColumn("nth", common)
+    found = found.where((F.col("pages") >= least) & ((F.col("n") >= least) | (F.col("nth") == 1)))
     references = stored(found.select("host", "layout", "nth", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("depths", "labels", "keys"))), "references")
-    # A page of a rarer layout goes to the reference of the most common one.
-    of = references.groupBy("host").agg(F.min_by("layout", "nth").alias("most"), F.collect_set("layout").alias("layouts"))
-    placed = trees.drop("page_id", "url").join(stored(of, "layouts"), "host")
-    placed = placed.withColumn("layout", F.when(F.array_contains("layouts", F.col("layout")), F.col("layout")).otherwise(F.col("most"))).drop("most", "layouts")
-    votes = placed.join(references.drop("nth"), ["host", "layout"]).mapInArrow(_votes, "host string, layout long, node int, key long, article long, inside boolean, story long")
-    # A key's voters are told apart by their article; a few hundred fingerprints of them are enough to know that they differ.
-    counted = votes.groupBy("host", "layout", "node", "key").agg(F.count("*").alias("n"), F.approx_count_distinct("article").alias("articles"), F.max("inside").alias("inside"), F.approx_count_distinct("story").alias("stories"))
-    counted = stored(counted, "votes")
+    # A layout of too few pages to vote goes to the reference of the most common one.
+    own = references.select("host", "layout", F.lit(True).alias("own"))
+    most = references.where("nth = 1").select("host", F.col("layout").alias("most"))
+    placed = trees.drop("page_id", "url").join(own, ["host", "layout"], "left").join(most, "host")
+    placed = placed.withColumn("layout", F.when(F.col("own"), F.col("layout")).otherwise(F.col("most"))).drop("most", "own")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("article", "story", "keys"), F.lit(SALTS)))
+    salted = references.drop("nth").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    votes = placed.join(salted, ["host", "layout", "salt"]).drop("salt").mapInArrow(_votes, "host string, layout long, node int, key long, article long, inside boolean, story long")
+    # A key's voters are told apart by their article, and inside articles by the story beside them: exact counts, of distinct rows.
+    leaf = ["host", "layout", "node", "key"]
+    votes = stored(votes.groupBy(*leaf, "article", "story").agg(F.count("*").alias("n"), F.max("inside").alias("inside")), "votes")
+    by_article = votes.groupBy(*leaf, "article").agg(F.sum("n").alias("n"), F.max("inside").alias("inside"))
+    counted = by_article.groupBy(*leaf).agg(F.sum("n").alias("n"), F.count("article").alias("articles"), F.max("inside").alias("inside"))
+    stories = votes.where("story is not null").select(*leaf, "story").distinct().groupBy(*leaf).agg(F.count("*").alias("stories"))
+    counted = stored(counted.join(stories, leaf, "left").na.fill(0, ["stories"]), "counted")
     total = counted.where("not inside").groupBy("host", "layout", "node").agg(F.sum("n").alias("total"))
     constant = counted.where("not inside").where((F.col("n") >= least) & (F.col("articles") >= least)).join(total, ["host", "layout", "node"]).where(F.col("n") >= F.col("total") * share)
-    told = trees.groupBy("host").agg(F.approx_count_distinct("story").alias("told"))
+    told = trees.where("story is not null").select("host", "story").distinct().groupBy("host").agg(F.count("*").alias("told"))
     repeated = counted.where(F.col("inside") & (F.col("stories") >= least)).groupBy("host", "key").agg(F.max("stories").alias("stories")).join(told, "host").where(F.col("stories") >= F.col("told") * share)
     constant = constant.select("host", "key").unionByName(repeated.select("host", "key"))
     return constant.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("template"))
