@@ -47,20 +47,11 @@ def _json_pages(spark, sf_dir, per: int):
     return path
 
 
-def _read_pages(spark, path):
-    """Pages stored as folders page=N."""
-    pages = spark.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "page=([0-9]+)", 1).alias("page"), "value")
-    named = workspace(spark, "named")
-    pages.write.parquet(named)
-    return spark.read.parquet(named)
-
-
 @query("SELECT s_suppkey AS id, s_name AS name, s_suppkey // 10 AS page FROM supplier WHERE s_suppkey < 70")
 def json_pages(spark, sf_dir):
     """Items of a paged JSON service, up to the first page that is an error."""
-    pages = _read_pages(spark, _json_pages(spark, sf_dir, 10)).select(F.col("page").cast("int").alias("page"), "value")
     item = F.from_json("item", "struct<id:bigint,name:string>")
-    return files.connected_pages(pages, "$.result.results").select(item.alias("i"), F.col("page").cast("bigint").alias("page")).select("i.id", "i.name", "page")
+    return files.read_pages(spark, _json_pages(spark, sf_dir, 10), "$.result.results").select(item.alias("i"), F.col("page").cast("bigint").alias("page")).select("i.id", "i.name", "page")
 
 
 @query("""
@@ -80,7 +71,7 @@ def yaml_catalogue(spark, sf_dir):
     path = workspace(spark, "yaml")
     text = F.concat(F.lit("Name: '"), F.col("n_name"), F.lit("'\nResources:\n  - Type: bucket\n    Rows: "), F.col("n_nationkey").cast("string"), F.lit("\nTags: [a, b]\n"))
     table(spark, sf_dir, "nation").select(text.alias("value"), F.concat(F.lit("slug"), "n_nationkey").alias("slug")).write.partitionBy("slug").text(path)
-    rows = spark.read.text(f"{path}/*", wholetext=True).select(F.concat(F.regexp_extract(F.col("_metadata.file_path"), "slug=([^/]+)", 1), F.lit(".yaml")).alias("path"), files.yaml_to_json("value").alias("record"))
+    rows = files.read_yaml(spark, path, "slug=([^/]+)/").withColumn("path", F.concat("path", F.lit(".yaml")))
     return rows.select(F.get_json_object("record", "$.Name").alias("name"), F.get_json_object("record", "$.Resources[0].Rows").cast("int").alias("rows"), "path")
 
 
@@ -101,18 +92,20 @@ def documentation_pages(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(F.transform("s", lambda x: x["kind"]), "|").alias("kinds"), F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("texts"), F.concat_ws("|", F.col("c")[0]["name"], F.col("c")[0]["description"]).alias("columns"), "decoded")
 
 
-_APIS = ((1, "BINANCE", "ticker", True), (2, "BINANCE", "order", False), (3, "KOBIS", "boxoffice", True), (4, "UNKNOWN", "x", True))
+#: The sources that are known.
+_SOURCES = (("BUILDING",), ("MACHINERY",), ("HOUSEHOLD",))
 
 
-@query("SELECT * FROM (VALUES (1, 'BINANCE', 'ticker', true), (2, 'BINANCE', 'order', false), (3, 'KOBIS', 'boxoffice', true)) t(id, source, name, public)")
+@query("""
+SELECT 'stored' AS what, c_custkey AS id, c_mktsegment AS source, c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')
+UNION ALL SELECT 'failed', count(*), c_mktsegment, NULL FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') GROUP BY c_mktsegment""")
 def static_catalogue(spark, sf_dir):
-    """A catalogue kept in code, stored by source; rows of unknown sources are counted instead."""
-    rows = files.catalogue(spark, list(_APIS), "id int, source string, name string, public boolean")
-    sources = files.catalogue(spark, [("BINANCE",), ("KOBIS",)], "source string")
+    """Rows stored by source, of the sources that a catalogue in code knows; rows of unknown sources are counted instead."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_name").alias("name"))
     path = workspace(spark, "by-source")
-    failed = files.write_known(rows, sources, path)
-    assert [tuple(r) for r in failed.collect()] == [("UNKNOWN", 1)]
-    return spark.read.parquet(path).select("id", "source", "name", "public")
+    failed = files.write_known(rows, files.catalogue(spark, list(_SOURCES), "source string"), path)
+    stored = spark.read.parquet(path).select(F.lit("stored").alias("what"), "id", "source", "name")
+    return stored.unionByName(failed.select(F.lit("failed").alias("what"), F.col("failed").alias("id"), "source", F.lit(None).cast("string").alias("name")))
 
 
 @query("""

@@ -17,30 +17,41 @@ def sniff(line: str) -> str:
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", start: int = 0) -> DataFrame:
     """All columns as trimmed strings with trimmed names, and row_index from 1; rows before ``start`` are skipped.
 
-    The index numbers rows within files in reading order, by counts of partitions and positions, without a sort.
+    Files are split between tasks, by lines, unless a quoted value goes over a line's end: then a file is one task. The index numbers rows
+    by file, block of the file and place in it, from counts of the blocks, without a sort of the rows.
     """
-    head = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+    lines = spark.read.option("encoding", encoding).text(path)
+    head = lines.limit(1).collect()
     separator = sniff(head[0].value) if head else ","
-    raw = spark.read.csv(path, header=True, sep=separator, encoding=encoding, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.toDF(*(c.replace("﻿", "").strip() for c in raw.columns))
-    return numbered(raw, "row_index").where(F.col("row_index") > start)
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"')))
+    whole = not lines.where(quotes % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, header=True, sep=separator, encoding=encoding, multiLine=whole, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    names = [c.replace("\ufeff", "").strip() for c in raw.columns]
+    placed = raw.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names, strict=True)), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"))
+    return numbered(placed, "row_index", "_block").drop("_block").where(F.col("row_index") > start)
 
 
-def numbered(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` numbered from 1 in reading order: positions within partitions, and counts of the partitions before (a row for each partition)."""
+def numbered(rows: DataFrame, column: str, block: str | None = None) -> DataFrame:
+    """``rows`` numbered from 1 in reading order: their places within blocks, and counts of the blocks before (a row for each block).
+
+    A block is a partition, or what ``block`` names; blocks come in its order, and the rows of one in one partition.
+    """
     placed = rows.withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + within + 1).drop("_part", "_before", "_id")
+    part = F.shiftright("_id", 33) if block is None else F.col(block)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), "_first")
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_part", "_before", "_first", "_id")
 
 
 def read_pages(spark: SparkSession, path: str, items: str = "$.items") -> DataFrame:
-    """page, position, item of the pages ``<path>/<page>.json`` of a paged JSON service, up to the first that is missing, empty or an error.
+    """page, position, item of the pages ``<path>/<page>.json`` (or ``<path>/page=<page>/...``) of a paged JSON service, up to the first that is
+    missing, empty or an error.
 
     ``items`` is the JSON path of the list in a page. Pages are read by Spark, one row each.
     """
-    return connected_pages(spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)[.]json$", 1).cast("int").alias("page"), "value"), items)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    number = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "(?:[0-9]+[.]json|page=[0-9]+/[^/]*)$", 0), "^page=|[./].*$", "")
+    return connected_pages(files.select(number.try_cast("int").alias("page"), "value"), items)
 
 
 def connected_pages(pages: DataFrame, items: str) -> DataFrame:
@@ -63,9 +74,10 @@ def catalogue(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """path, record (JSON) of YAML files, numbered by path; files that are no mapping are left out."""
-    found = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("path"), yaml_to_json("value").alias("record"))
+def read_yaml(spark: SparkSession, path: str, name: str = "([^/]+)$") -> DataFrame:
+    """path (the group of ``name`` in a file's path: the file's name), record (JSON) of YAML files; files that are no mapping are left out."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    found = files.select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("path"), yaml_to_json("value").alias("record"))
     return found.where("record is not null")
 
 

@@ -39,3 +39,29 @@ def test_run_summaries(spark):
 def test_partitioned_sink(spark, tmp_path):
     files.write_by_source(spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int"), str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").glob("source=*")) == ["source=a", "source=b"]
+
+
+def test_csv_is_split_by_lines_and_numbered_in_order(spark, tmp_path):
+    for name, low in (("a", 0), ("b", 3000)):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f"{i},{'x' * (i % 50)}\n" for i in range(low, low + 3000)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        rows = files.read_csv(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        assert sorted((r.row_index, int(r.k)) for r in rows.collect()) == [(i + 1, i) for i in range(6000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c.csv").write_text('k,v\n1,"two\nlines"\n2,b\n', encoding="utf-8")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "c.csv"), start=0).orderBy("row_index").collect()] == [("1", "two\nlines", 1), ("2", "b", 2)]
+
+
+def test_yaml_by_name_and_pages_in_folders(spark, tmp_path):
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "one.yaml").write_text("a: 1\nb: [x]\n")
+    (tmp_path / "y" / "list.yaml").write_text("- 1\n")
+    assert [tuple(r) for r in files.read_yaml(spark, str(tmp_path / "y")).collect()] == [("one.yaml", '{"a": 1, "b": ["x"]}')]
+    for i in range(2):
+        (tmp_path / "p" / f"page={i}").mkdir(parents=True)
+        (tmp_path / "p" / f"page={i}" / "part-0.txt").write_text(json.dumps({"items": [i]}))
+    assert sorted((r.page, r.item) for r in files.read_pages(spark, str(tmp_path / "p")).collect()) == [(0, "0"), (1, "1")]
