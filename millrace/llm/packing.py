@@ -20,6 +20,7 @@ rows; extra columns are ignored.
 import bisect
 import os
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ FINEST = 512
 STALLED = 2000
 #: Units by which the piece in a place of a pattern may be longer than the place.
 WIDER = 2
-#: Words whose ids a worker remembers (some 150 bytes each).
+#: Words whose ids a worker remembers in a task (some 150 bytes each), and those that it keeps for its next task: the first ones it met.
 CACHE_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 #: ASCII marks that, at the end of a word and after a letter, are a token run of their own (not ' and >, which may end other tokens).
 _MARK = np.zeros(256, bool)
@@ -100,6 +102,13 @@ class WordIds:
         self.flat = np.concatenate([self.flat, *parts])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
 
+    def shrink(self, most: int = KEPT_WORDS) -> None:
+        """Forgets all words but the first ``most``: common words come early, and a worker's other tasks need its memory."""
+        if len(self.place) > most:
+            self.place = dict(islice(self.place.items(), most))
+            self.starts = self.starts[: most + 1].copy()
+            self.flat = self.flat[: self.starts[-1]].copy()
+
     def places(self, words: list[str]) -> np.ndarray:
         """Where the ids of each word are: indexes into ``starts``."""
         got = list(map(self.place.get, words))
@@ -158,6 +167,8 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [cut.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if path in _LOADED:
+            _LOADED[path].shrink()
 
     return run
 

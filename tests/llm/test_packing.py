@@ -25,6 +25,16 @@ def test_token_ids_equal_the_tokenizers_own():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == ids_of(texts)
 
 
+def test_a_shrunk_memory_still_tells_the_ids():
+    known = packing.WordIds(packing.default_tokenizer())
+    texts = [f"word{i}x" for i in range(50)] + ["hello", "Ü!", "<|endoftext|>"]
+    told = lambda: [known.flat[known.starts[i] : known.starts[i + 1]].tolist() for i in known.places(texts)]
+    before = told()
+    known.shrink(20)
+    assert len(known.place) == 20 and len(known.flat) == known.starts[-1]
+    assert told() == before == ids_of(texts)
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_pieces_and_places(spark, capacity):
     docs = documents(spark)
