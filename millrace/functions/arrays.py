@@ -63,8 +63,12 @@ def first_shortest(a: Column) -> Column:
 
 def listed(j: Column) -> Column:
     """A JSON list of strings as an array, a JSON string or any other text as an array of one; null as none."""
-    inner = F.when(F.trim(j).startswith("["), F.from_json(j, "array<string>"))
-    return F.coalesce(inner, F.when(j.isNotNull(), F.array(j)), F.array().cast("array<string>"))
+
+    def read(y: Column) -> Column:
+        inner = F.when(F.trim(y).startswith("["), F.from_json(y, "array<string>"))
+        return F.coalesce(inner, F.when(y.isNotNull(), F.array(y)), F.array().cast("array<string>"))
+
+    return text.let(j, read)
 
 
 def hosts(urls: Column) -> Column:

@@ -1,6 +1,8 @@
 """Numbers, booleans, sizes and scores: Column to Column."""
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +19,11 @@ _SIZE = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(B|KB|MB|GB|TB|PB|KiB|MiB|GiB|TiB|PiB)"
 
 def parse_int(x: Column) -> Column:
     """The first whole number of a text, thousands commas apart; null without one."""
-    return F.nullif(F.regexp_extract(F.replace(text.clean(x), F.lit(",")), "-?[0-9]+", 0), F.lit("")).try_cast("bigint")
+    return _whole(text.clean(x))
+
+
+def _whole(plain: Column) -> Column:
+    return F.regexp_extract(F.replace(plain, F.lit(",")), "-?[0-9]+", 0).try_cast("bigint")
 
 
 def parse_float(x: Column) -> Column:
@@ -35,19 +41,18 @@ def strict_float(x: Column, default: float) -> Column:
 
 
 def parse_bool(x: Column) -> Column:
-    word = F.lower(text.clean(x))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
+    return text.let(F.lower(text.clean(x)), lambda word: F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False)))
 
 
 def parse_bytes(x: Column) -> Column:
     """Bytes of the first number with a unit ("1.5 GB", "3 MiB"); without one, of the first whole number."""
-    plain = text.clean(x)
-    number = F.nullif(F.regexp_extract(plain, _SIZE, 1), F.lit("")).cast("double")
-    unit = F.lower(F.regexp_extract(plain, _SIZE, 2))
-    factor = F.lit(1.0)
-    for name, size in UNITS.items():
-        factor = F.when(unit == name, F.lit(float(size))).otherwise(factor)
-    return F.when(number.isNotNull(), F.floor(number * factor)).otherwise(parse_int(x))
+    factors = F.create_map(*(F.lit(v) for name, size in UNITS.items() for v in (name, float(size))))
+
+    def read(plain: Column) -> Column:
+        number = F.regexp_extract(plain, _SIZE, 1).try_cast("double")
+        return F.coalesce(F.floor(number * F.try_element_at(factors, F.lower(F.regexp_extract(plain, _SIZE, 2)))), _whole(plain))
+
+    return text.let(text.clean(x), read)
 
 
 def unit_score(x: Column) -> Column:
@@ -213,8 +218,12 @@ MODALITIES = {
 
 def modalities(x: Column) -> Column:
     """The modalities that a text names, in the order above."""
-    plain = F.lower(text.clean(x))
-    return F.array_compact(F.array(*(F.when(plain.rlike("|".join(words)), F.lit(name)) for name, words in MODALITIES.items())))
+
+    def named(plain: Column) -> Column:
+        any_of = lambda words: reduce(or_, (plain.contains(w) for w in words))
+        return F.array_compact(F.array(*(F.when(any_of(words), F.lit(name)) for name, words in MODALITIES.items())))
+
+    return text.let(F.lower(text.clean(x)), named)
 
 
 def dot(a: Column, b: Column) -> Column:

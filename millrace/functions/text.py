@@ -18,6 +18,11 @@ def blank_to_null(x: Column) -> Column:
     return F.when(F.trim(x) != "", x)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def unescape(x: Column) -> Column:
     """Character references (numeric ones, and the named ones of HTML 4) decoded, each once; unknown names stay."""
 
@@ -28,12 +33,10 @@ def unescape(x: Column) -> Column:
         known = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), name)
         return F.when(~piece.rlike(f"^{_REFERENCE}$"), piece).when(name.startswith("#"), number).otherwise(F.coalesce(known, piece))
 
-    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0)), decoded), "")
+    def pieces(y: Column) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(y, F.lit(rf"{_REFERENCE}|[^&]+|&"), F.lit(0)), decoded), "")
 
-
-def let(x: Column, f) -> Column:
-    """f(x) with x worked out once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    return let(x, lambda y: F.when(y.contains("&"), pieces(y)).otherwise(y))
 
 
 def one_line(x: Column) -> Column:
@@ -43,7 +46,7 @@ def one_line(x: Column) -> Column:
 
 def clean(x: Column) -> Column:
     """References decoded, tags and repeated blanks out, ends trimmed; null if nothing is left."""
-    return F.nullif(one_line(F.regexp_replace(unescape(x), "<[^>]+>", " ")), F.lit(""))
+    return let(one_line(F.regexp_replace(unescape(x), "<[^>]+>", " ")), lambda t: F.when(t != "", t))
 
 
 def html_text(x: Column) -> Column:
@@ -64,7 +67,7 @@ def first_sentence(x: Column, longest: int = 240) -> Column:
 def clip(x: Column, n: int) -> Column:
     """Trimmed, on one line, and no longer than ``n`` with its dots."""
     one = F.replace(F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit("\n"), F.lit(" "))
-    return F.when(F.char_length(one) > n, F.concat(F.substring(one, 1, n - 3), F.lit("..."))).otherwise(one)
+    return let(one, lambda y: F.when(F.char_length(y) > n, F.concat(F.substring(y, 1, n - 3), F.lit("..."))).otherwise(y))
 
 
 def clip_display(x: Column, n: int) -> Column:
@@ -155,9 +158,9 @@ def split_long(x: Column, longest: int = 220, reach: int = 60, at_sentence: bool
 
 def hangul_ratio(x: Column) -> Column:
     """Hangul syllables among letters; 0 without letters."""
-    hangul = F.char_length(F.regexp_replace(x, "[^가-힣]", ""))
-    letters = F.char_length(F.regexp_replace(x, "[^A-Za-z가-힣]", ""))
-    return F.when(letters > 0, hangul / letters).otherwise(F.lit(0.0))
+    letters = F.regexp_replace(x, "[^A-Za-z가-힣]+", "")  # runs, not characters: a match costs more than a step in it
+    ratio = let(letters, lambda y: F.try_divide(F.char_length(F.regexp_replace(y, "[A-Za-z]+", "")), F.char_length(y)))
+    return F.when(x.rlike("[가-힣]"), ratio).otherwise(F.lit(0.0))
 
 
 #: How many sentences a merged explanation has, and how Korean it is.
@@ -177,21 +180,22 @@ def plain_of_markdown(x: Column) -> Column:
 
 def merged_text_code(shown: Column, raw: Column, dataset: bool = True, openapi: bool = True) -> Column:
     """Why a merged explanation (as shown, and as the model gave it) is not fit to show, or null."""
-    plain = plain_of_markdown(shown)
-    n = F.size(sentences(plain, 6))
+    return let(plain_of_markdown(shown), lambda plain: _merged_code(shown, raw, plain, dataset, openapi))
+
+
+def _merged_code(shown: Column, raw: Column, plain: Column, dataset: bool, openapi: bool) -> Column:
+    n = let(F.size(sentences(plain, 6)), lambda k: F.when(k < MERGED_SENTENCES[0], "too_short").when(k > MERGED_SENTENCES[1], "too_long"))
     code = (
         F.when(F.coalesce(shown, F.lit("")) == "", "empty")
         .when(raw.contains("```") | raw.contains("~~~"), "markdown_code_block")
         .when(raw.rlike(r"</?[a-zA-Z][^>]*>"), "html_tag")
-        .when(n < MERGED_SENTENCES[0], "too_short")
-        .when(n > MERGED_SENTENCES[1], "too_long")
-        .when(hangul_ratio(plain) < MERGED_HANGUL, "low_korean_ratio")
     )
+    late = F.when(hangul_ratio(plain) < MERGED_HANGUL, "low_korean_ratio")
     if dataset:
-        code = code.when(~plain.contains("데이터"), "missing_dataset_perspective")
+        late = late.when(~plain.contains("데이터"), "missing_dataset_perspective")
     if openapi:
-        code = code.when(~F.lower(plain).contains("api"), "missing_openapi_perspective")
-    return code
+        late = late.when(~F.lower(plain).contains("api"), "missing_openapi_perspective")
+    return code.otherwise(F.coalesce(n, late))
 
 
 #: A navigation line of project pages, and its labels.
@@ -202,13 +206,12 @@ _NAVIGATION_LABELS = ("paper", "project page", "released resources", "repo")
 def is_navigation(x: Column) -> Column:
     """Whether a text is a project page's navigation: its line, or three of its labels and a bar."""
     hits = sum((F.lower(x).contains(w).cast("int") for w in _NAVIGATION_LABELS), F.lit(0))
-    return x.rlike(_NAVIGATION) | (x.contains("|") & (hits >= 3))
+    return x.contains("|") & (x.rlike(_NAVIGATION) | (hits >= 3))  # the line has bars too
 
 
 def without_navigation(x: Column) -> Column:
     """The cleaned text without navigation lines; null if it is nothing else."""
-    rest = clean(F.regexp_replace(x, _NAVIGATION, " "))
-    return F.when(~is_navigation(rest), rest)
+    return let(clean(F.regexp_replace(x, _NAVIGATION, " ")), lambda rest: F.when(~is_navigation(rest), rest))
 
 
 def uuid_of(x: Column) -> Column:
@@ -222,7 +225,7 @@ def hashtags(x: Column) -> Column:
 
 def split_keywords(x: Column) -> Column:
     """At ``;`` if there is one, else at ``,`` if there is one, else at ``/``."""
-    parts = F.when(F.contains(x, F.lit(";")), F.split(x, ";")).when(F.contains(x, F.lit(",")), F.split(x, ",")).otherwise(F.split(x, "/"))
+    parts = let(x, lambda y: F.when(F.contains(y, F.lit(";")), F.split(y, ";")).when(F.contains(y, F.lit(",")), F.split(y, ",")).otherwise(F.split(y, "/")))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
@@ -264,8 +267,12 @@ def labelled_values(x: Column, labels: list[str]) -> Column:
     every = "|".join(re.escape(n) for n in sorted(labels, key=len, reverse=True))
     pairs = F.regexp_extract_all(clean(x), F.lit(rf"(?:{every})(?:(?!{every}).)*"), F.lit(0))
     entries = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, rf"^({every})", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, rf"^(?:{every})", ""), r"^[ :]+|[ :]+$", "").alias("value")))
+
+    def last(filled: Column, after: Column) -> Column:
+        return F.filter(filled, lambda e, i: F.size(after) - F.array_position(after, e["key"]) == i)
+
     filled = F.filter(entries, lambda e: e["value"] != "")
-    return F.map_from_entries(F.filter(filled, lambda e, i: F.get(filled, F.size(filled) - F.array_position(F.transform(F.reverse(filled), lambda y: y["key"]), e["key"]).cast("int")) == F.get(filled, i)))
+    return let(filled, lambda f: let(F.reverse(F.transform(f, lambda e: e["key"])), lambda after: F.map_from_entries(last(f, after))))
 
 
 def error_text(x: Column, longest: int = 360) -> Column:

@@ -95,11 +95,14 @@ def _list_at(raw: Column, paths: tuple[str, ...]) -> Column:
     if not paths:
         return F.array().cast("array<string>")
 
+    def texts(value: Column) -> Column:
+        return F.when(F.trim(value).startswith("["), arrays.listed(value)).when(value.isNotNull(), text.split_keywords(value)).otherwise(F.array().cast("array<string>"))
+
     def one(path: str) -> Column:
         value = F.get_json_object(raw, path)
         if "[*]" in path:  # a single match comes without its list
-            value = F.when(value.startswith("["), value).otherwise(F.concat(F.lit("["), value, F.lit("]")))
-        return F.when(F.trim(value).startswith("["), arrays.listed(value)).when(value.isNotNull(), text.split_keywords(value)).otherwise(F.array().cast("array<string>"))
+            value = text.let(value, lambda v: F.when(v.startswith("["), v).otherwise(F.concat(F.lit("["), v, F.lit("]"))))
+        return text.let(value, texts)
 
     return F.filter(arrays.merged(*map(one, paths)), lambda x: ~x.startswith("{"))
 
@@ -113,8 +116,7 @@ def _objects_at(raw: Column, path: str | None) -> Column:
 
 def summed(sizes: Column) -> Column:
     """The sum of the sizes that are known; null if none is."""
-    known = F.filter(sizes, lambda n: n.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, n: a + n))
+    return text.let(F.filter(sizes, lambda n: n.isNotNull()), lambda known: F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, n: a + n)))
 
 
 #: Words beside a size that make it the size of the data.
@@ -295,7 +297,7 @@ def metrics(j: Column) -> Column:
     found = F.coalesce(F.from_json(j, "map<string,string>"), F.create_map().cast("map<string,string>"))
     entries = F.transform(F.map_entries(found), lambda e: F.struct(F.replace(F.replace(F.replace(F.lower(text.clean(e["key"])), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_")), F.lit("__"), F.lit("_")).alias("key"), e["value"].alias("value")))
     kept = F.filter(entries, lambda e: e["key"].isin(*METRICS) & e["value"].rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
-    first = F.filter(kept, lambda e, i: F.array_position(F.transform(kept, lambda x: x["key"]), e["key"]) == i + 1)
+    first = text.let(kept, lambda k: F.filter(k, lambda e, i: F.array_position(F.transform(k, lambda x: x["key"]), e["key"]) == i + 1))
     return F.to_json(F.map_from_entries(F.array_sort(F.transform(first, lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("double").alias("value"))))))
 
 
@@ -369,8 +371,8 @@ def picked_title(candidates: Column) -> Column:
 def distinct_columns(columns: Column) -> Column:
     """Rows of a schema (structs of name, description, data_type, max_length, unit) that have a name, once each whatever their case."""
     named = F.filter(columns, lambda c: text.clean(c["name"]).isNotNull())
-    keys = F.transform(named, lambda c: F.concat_ws("\x1f", *(F.lower(F.coalesce(text.clean(c[f]), F.lit(""))) for f in ("name", "description", "data_type", "max_length", "unit"))))
-    return F.filter(named, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    key = lambda c: F.concat_ws("\x1f", *(F.lower(F.coalesce(text.clean(c[f]), F.lit(""))) for f in ("name", "description", "data_type", "max_length", "unit")))
+    return text.let(named, lambda n: text.let(F.transform(n, key), lambda keys: F.filter(n, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def result_list(payload: Column) -> Column:
@@ -379,6 +381,6 @@ def result_list(payload: Column) -> Column:
 
     def objects(path: str) -> Column:
         items = F.from_json(F.get_json_object(payload, path), "array<string>")
-        return F.when((F.size(items) > 0) & F.forall(items, lambda x: x.startswith("{")), items)
+        return text.let(items, lambda a: F.when((F.size(a) > 0) & F.forall(a, lambda x: x.startswith("{")), a))
 
     return F.coalesce(*map(objects, paths), F.array().cast("array<string>"))

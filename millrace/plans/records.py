@@ -8,7 +8,7 @@ from millrace.functions import arrays, dates, numbers, text
 from millrace.operators import ingest, records
 from millrace.plans.registry import query
 from millrace.plans.sql import any_of, clean, strings
-from millrace.session import table
+from millrace.session import spread, table
 
 
 def _nested(path_values: dict[str, object]):
@@ -36,7 +36,7 @@ def _files(path_of_size: str, *names: str):
 
 def _raw_records(spark, sf_dir):
     """The parts as raw records of each source: code -> rows (p_partkey, raw)."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     even = F.col("p_partkey") % 2 == 0
     key, name, brand, kind = F.concat(F.lit("k"), F.col("p_partkey")), F.col("p_name"), F.col("p_brand"), F.col("p_type")
     url = F.concat(F.lit("https://data.example.org/"), F.col("p_partkey"))
@@ -256,7 +256,7 @@ def array_rules(spark, sf_dir):
     items = F.array_repeat(F.struct(k.alias("id")), (k % 3).cast("int"))
     payload = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(items.alias("results")).alias("result")))).otherwise(F.to_json(F.struct(F.struct(items.alias("hits")).alias("hits"))))
     once = records.distinct_columns(schema)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.merged(F.array(brand, kind), F.array(F.upper(kind), F.lit(None).cast("string"))), "|").alias("merged"), F.get(once, F.lit(0))["name"].alias("first_key"), F.size(once).alias("n_columns"), arrays.first_shortest(F.array("p_name", "p_type")).alias("shortest"), F.array_join(arrays.listed(listed), "|").alias("listed"), F.array_contains(F.array(brand, kind), brand).alias("has_brand"), F.array_join(arrays.hosts(urls), "|").alias("hosts"), F.size(records.result_list(payload)).alias("n_results"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.array_join(arrays.merged(F.array(brand, kind), F.array(F.upper(kind), F.lit(None).cast("string"))), "|").alias("merged"), F.get(once, F.lit(0))["name"].alias("first_key"), F.size(once).alias("n_columns"), arrays.first_shortest(F.array("p_name", "p_type")).alias("shortest"), F.array_join(arrays.listed(listed), "|").alias("listed"), F.array_contains(F.array(brand, kind), brand).alias("has_brand"), F.array_join(arrays.hosts(urls), "|").alias("hosts"), F.size(records.result_list(payload)).alias("n_results"))
 
 
 @query("""

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows, per: int = 5000):
+    """The rows of a small file dealt to a task for every ``per`` of them: a file of few bytes is one scan task, however much work its rows are."""
+    n = -(-rows.count() // per)
+    return rows.repartition(n) if n > 1 else rows
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; in local mode a temporary folder where that is unset."""
     import uuid
