@@ -7,6 +7,7 @@ names ({"authorName": {"typeName": "authorName", "value": ...}}), or in a list u
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
 from millrace.session import workspace
 
 
@@ -28,16 +29,18 @@ def text(v: Column) -> Column:
 
 def listed(v: Column) -> Column:
     """array<variant>: a list as it is, nothing for nothing, else a list of one."""
-    kind = F.coalesce(_kind(v), F.lit("VOID"))
-    return F.when(kind == "VOID", F.array().cast("array<variant>")).when(kind == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    shown = lambda y, kind: F.when(kind == "VOID", F.array().cast("array<variant>")).when(kind == "ARRAY", F.try_variant_get(y, "$", "array<variant>")).otherwise(F.array(y))
+    return let(v, lambda y: let(F.coalesce(_kind(y), F.lit("VOID")), lambda kind: shown(y, kind)))
 
 
 def fields(v: Column) -> Column:
     """map<string, variant>: the values of a list of fields by typeName; the last of a name counts."""
     named = F.filter(F.transform(listed(v), lambda f: F.struct(F.try_variant_get(f, "$.typeName", "string").alias("name"), at(f, "value").alias("value"))), lambda f: F.coalesce(f["name"], F.lit("")) != "")
-    names = F.transform(named, lambda f: f["name"])
-    last = F.filter(F.sequence(F.lit(1), F.greatest(F.size(named), F.lit(1))), lambda i: (F.size(named) > 0) & ~F.array_contains(F.slice(names, i + 1, F.greatest(F.size(names) - i, F.lit(0))), F.get(names, i - 1)))
-    return F.map_from_entries(F.transform(last, lambda i: F.get(named, i - 1)))
+
+    def last(all_: Column, after: Column) -> Column:
+        return F.filter(all_, lambda f, i: F.size(after) - F.array_position(after, f["name"]) == i)
+
+    return let(named, lambda n: let(F.reverse(F.transform(n, lambda f: f["name"])), lambda after: F.map_from_entries(last(n, after))))
 
 
 def multi_text(v: Column) -> Column:
@@ -48,23 +51,23 @@ def multi_text(v: Column) -> Column:
 
 def _child(v: Column, name: str) -> Column:
     """The text of the child of that name: {name: {value}}, {name: text}, or {typeName: name, value}."""
-    under = at(v, name)
-    return F.when(F.try_variant_get(v, "$.typeName", "string") == name, text(at(v, "value"))).when(_kind(under) == "OBJECT", text(at(under, "value"))).otherwise(text(under))
+    under = let(at(v, name), lambda u: F.when(_kind(u) == "OBJECT", text(at(u, "value"))).otherwise(text(u)))
+    return F.when(F.try_variant_get(v, "$.typeName", "string") == name, text(at(v, "value"))).otherwise(under)
 
 
 def _children(v: Column, *names: str) -> Column:
     """What holds the children of a compound: its value, or itself where it has none and they stand under their names."""
-    value = at(v, "value")
-    none = F.coalesce(_kind(value), F.lit("VOID")).isin("VOID") | (F.size(listed(value)) == 0)
     own = F.coalesce(*(at(v, n) for n in names)).isNotNull()
-    return F.when(none & own, F.array(v)).otherwise(listed(value))
+    return let(listed(at(v, "value")), lambda value: F.when((F.size(value) == 0) & own, F.array(v)).otherwise(value))
 
 
 def compound_texts(v: Column, name: str) -> Column:
     """The distinct texts of the child ``name`` of every compound of a list; texts in the list stand for themselves."""
 
     def one(x: Column) -> Column:
-        kind = _kind(x)
+        return let(_kind(x), lambda kind: of_kind(x, kind))
+
+    def of_kind(x: Column, kind: Column) -> Column:
         value = at(x, "value")
         inner = F.transform(_children(x, name), lambda c: F.when(_kind(c) == "OBJECT", _child(c, name)))
         return F.when(kind == "STRING", F.array(text(x))).when(kind != "OBJECT", F.array().cast("array<string>")).when(_kind(value) == "STRING", F.array(text(value))).otherwise(inner)
@@ -77,11 +80,10 @@ def people(v: Column, name: str, affiliation: str, email: str) -> Column:
 
     def one(x: Column) -> Column:
         children = F.when(_kind(x) == "STRING", F.array(x)).otherwise(_children(x, name, affiliation, email))
+        return let(F.filter(children, lambda c: _kind(c) == "OBJECT"), lambda objects: named(x, objects))
 
-        def last(child: str) -> Column:
-            found = F.array_compact(F.transform(children, lambda c: F.when(_kind(c) == "OBJECT", _child(c, child))))
-            return F.get(found, F.size(found) - 1)
-
+    def named(x: Column, objects: Column) -> Column:
+        last = lambda child: F.try_element_at(F.array_compact(F.transform(objects, lambda c: _child(c, child))), F.lit(-1))
         alone = F.when(_kind(x) == "STRING", text(x)).when(_kind(at(x, "value")).isin("STRING"), text(at(x, "value")))
         return F.struct(F.coalesce(alone, last(name)).alias("name"), last(affiliation).alias("affiliation"), last(email).alias("email"))
 

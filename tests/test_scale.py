@@ -33,3 +33,11 @@ def test_a_text_is_cleaned_once(spark):
     assert [r[0] for r in rows.select(numbers.parse_bytes(F.col("x"))).collect()] == [1500, None]
     assert [r[0] for r in rows.select(F.array_join(numbers.modalities(F.col("x")), ",")).collect()] == ["text,image", ""]
     assert [r[0] for r in rows.select(text.clean(F.col("x"))).collect()] == ["a 1.5 KB & image pdf", None]
+
+
+def test_kinds_of_variants_are_read_once(spark):
+    rows = spark.sql("SELECT parse_json('[]') v")
+    plan = rows.select(compound.people(rows.v, "a", "b", "c").alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant") <= 24
+    doubled = spark.sql("""SELECT parse_json('[{"typeName": "a", "value": 1}, {"typeName": "b", "value": 2}, {"typeName": "a", "value": 1}]') v""")
+    assert doubled.select(F.map_keys(compound.fields(doubled.v)).alias("k")).first().k == ["b", "a"]
