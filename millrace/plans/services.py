@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import compound
 from millrace.operators import jsonld
 from millrace.plans.registry import query
-from millrace.session import table, workspace
+from millrace.session import spread, table, workspace
 from millrace.sources import paged
 from millrace.streaming import events as streams
 from millrace.streaming import held
@@ -18,7 +18,12 @@ def _stored(rows, path: str, size: int, page, wrap: str, broken: int | None = No
     made = rows.groupBy(page.alias("page")).agg(body.alias("value"))
     if broken is not None:
         made = made.withColumn("value", F.when(F.col("page") == broken, "<html>502</html>").otherwise(F.col("value")))
-    made.withColumn("size", F.lit(size)).write.mode("append").partitionBy("size", "page").text(path)
+    _write(spread(made.withColumn("size", F.lit(size)), 200), path)
+
+
+def _write(rows, path: str) -> None:
+    """A folder a page, by many tasks; each task moves its own folders in place (version 2 of the committer), not the driver all of them."""
+    rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("size", "page").text(path)
 
 
 def _parts(spark, sf_dir):
@@ -54,7 +59,8 @@ def iterator_by_last_modified(spark, sf_dir):
     """What an iterator of a client library gave, an item a line; the latest come first."""
     e, path = table(spark, sf_dir, "events"), workspace(spark, "iterator")
     line = F.to_json(F.struct(F.col("event_id").alias("id"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3).alias("lastModified")))
-    e.select(line.alias("value"), F.lit(1).alias("size"), (F.col("event_id") / 1000).cast("int").alias("page")).repartition("page").write.partitionBy("size", "page").text(path)
+    lines = e.select(line.alias("value"), F.lit(1).alias("size"), (F.col("event_id") / 1000).cast("int").alias("page"))
+    _write(lines.repartition(max(1, -(-e.count() // 50_000)), "page"), path)
     read = paged.read(spark, path, sizes="1", first="0", lines="true", key="id")
     rows = read.select(F.get_json_object("item", "$.id").cast("bigint").alias("id"), F.get_json_object("item", "$.lastModified").cast("double").alias("modified"))
     return rows.orderBy(F.desc("modified"), "id").limit(200)
@@ -127,7 +133,7 @@ def compound_metadata(spark, sf_dir):
     """Fields nested to different depths: texts, lists of texts, compounds in lists and under their names; and how many leaves there are."""
     field = lambda name, value, kind: F.struct(F.lit(name).alias("typeName"), F.lit(kind).alias("typeClass"), value.alias("value"))
     child = lambda name, value: F.struct(F.lit(name).alias("typeName"), value.alias("value"))
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     authors = F.concat_ws(
         ",",
         F.to_json(F.struct(child("authorName", F.col("p_type")).alias("authorName"), child("authorAffiliation", F.col("p_brand")).alias("authorAffiliation"))),

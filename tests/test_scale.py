@@ -41,3 +41,17 @@ def test_kinds_of_variants_are_read_once(spark):
     assert plan.count("schema_of_variant") <= 24
     doubled = spark.sql("""SELECT parse_json('[{"typeName": "a", "value": 1}, {"typeName": "b", "value": 2}, {"typeName": "a", "value": 1}]') v""")
     assert doubled.select(F.map_keys(compound.fields(doubled.v)).alias("k")).first().k == ["b", "a"]
+
+
+def put(root, n, per):
+    for p in range(1, n + 1):
+        os.makedirs(f"{root}/size={per}/page={p}")
+        with open(f"{root}/size={per}/page={p}/part-0.txt", "w") as f:
+            json.dump({"hits": [{"id": i} for i in range(per * p - per, per * p)]}, f)
+
+
+def test_many_responses_share_partitions(spark, tmp_path):
+    put(tmp_path, 130, 3)
+    parts = paged._PageReader({"path": str(tmp_path), "sizes": "3"}).partitions()
+    assert len(parts) == 44 and sorted(r for p in parts for r in p.requests) == [(3, p) for p in range(1, 131)]
+    assert sorted(int(r.key) for r in paged.read(spark, str(tmp_path), sizes="3").collect()) == list(range(390))
