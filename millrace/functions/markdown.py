@@ -78,19 +78,22 @@ def reason_points(x: Column, most: int = 2) -> Column:
 
     def point(s: Column) -> Column:
         s = F.regexp_replace(text.sanitize_identifiers(F.trim(s)), r"^\[[0-9]+\]\s*", "")
-        s = F.when(s.contains(" - "), F.trim(F.regexp_replace(s, "^.*? - ", ""))).otherwise(s)
+        s = F.trim(F.regexp_replace(s, "^.*? - ", ""))
         return text.clip(F.regexp_replace(s, r"^[-* ]+|[-* ]+$", ""), 140)
 
     return F.slice(F.array_distinct(F.filter(F.transform(F.split(x, r"\r?\n"), point), lambda p: F.char_length(p) >= 8)), 1, most)
 
 
 def ensured_sentence(x: Column) -> Column:
-    return F.when(x.rlike(r"[.!?]$"), x).otherwise(F.concat(x, F.lit(".")))
+    return text.let(x, lambda y: F.when(y.rlike(r"[.!?]$"), y).otherwise(F.concat(y, F.lit("."))))
 
 
 def fallback_explanation(prompt: Column, dataset_reason: Column, openapi_reason: Column) -> Column:
     """The explanation in place of a model's: the request, two points of each reason, and a caution."""
-    d, o = reason_points(dataset_reason), reason_points(openapi_reason)
+    return text.let(reason_points(dataset_reason), lambda d: text.let(reason_points(openapi_reason), lambda o: _fallback(prompt, d, o)))
+
+
+def _fallback(prompt: Column, d: Column, o: Column) -> Column:
     pick = lambda points, i, other: F.coalesce(F.get(points, F.lit(i)), F.lit(other))
     first = F.concat(F.lit("요청하신 '"), text.clip(prompt, 80), F.lit("' 목적을 기준으로 데이터셋과 Open API 추천 근거를 함께 검토했습니다"))
     second = F.concat(F.lit("데이터셋 측면에서는 "), pick(d, 0, "요청 의도와 유사한 데이터 속성을 우선 반영했습니다"), F.lit(" 또한 "), pick(d, 1, "접근 조건과 활용 난이도를 함께 고려해 후보를 정리했습니다"))

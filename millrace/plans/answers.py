@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markdown, text
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import spread, table
 
 
 def _answer():
@@ -19,7 +19,7 @@ SELECT p_partkey, '### One head' || chr(10) || chr(10) || 'quoted ' || p_name ||
 def markdown_answers(spark, sf_dir):
     """Answers as light markdown: two headings, five bullets, no fences, tags and tables."""
     cut = F.regexp_replace(_answer(), r"\n\| t \| u \|$", "")
-    return table(spark, sf_dir, "part").select("p_partkey", markdown.reason(cut).alias("reason"), markdown.chat(_answer()).alias("chat"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", markdown.reason(cut).alias("reason"), markdown.chat(_answer()).alias("chat"))
 
 
 @query(r"""
@@ -64,7 +64,7 @@ _CODES = ("empty", "markdown_code_block", "html_tag", "too_short", "too_long", "
 def merged_text_codes(spark, sf_dir):
     """Why a merged explanation is refused, or null."""
     raw = _merged(F.col("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.merged_text_code(raw, raw).alias("code"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", text.merged_text_code(raw, raw).alias("code"))
 
 
 @query("""
@@ -77,7 +77,7 @@ def fallback_explanations(spark, sf_dir):
     other = F.when(F.col("p_partkey") >= 0, F.lit("tiny"))
     context = markdown.reason_context(F.regexp_replace(lines, r"short\n", ""))
     card = markdown.card_reason(F.concat(F.lit("요약 추천: x\r\n\r\n"), lines))
-    return table(spark, sf_dir, "part").select("p_partkey", markdown.fallback_explanation(F.col("p_name"), lines, other).alias("shown"), F.array_join(markdown.reason_points(lines), "|").alias("points"), context.alias("context"), card.alias("card"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", markdown.fallback_explanation(F.col("p_name"), lines, other).alias("shown"), F.array_join(markdown.reason_points(lines), "|").alias("points"), context.alias("context"), card.alias("card"))
 
 
 @query("""
@@ -109,7 +109,7 @@ def labelled_blocks(spark, sf_dir):
     block = F.concat(F.lit("Publisher "), F.col("p_brand"), F.lit(" Update Cycle: Monthly All Rows "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " 데이터 포맷 : CSV").otherwise(""))
     values = text.labelled_values(block, list(_LABELS))
     uuid = text.uuid_of(F.concat(F.lit("see 0a1b2c3d-0000-4000-8000-00000000000"), (F.col("p_partkey") % 10).cast("string"), F.lit(" there")))
-    return table(spark, sf_dir, "part").select("p_partkey", values["Publisher"].alias("publisher"), values["Update Cycle"].alias("cycle"), values["All Rows"].alias("n_rows"), F.try_element_at(values, F.lit("데이터 포맷")).alias("format"), uuid.isNotNull().alias("uuid_found"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", values["Publisher"].alias("publisher"), values["Update Cycle"].alias("cycle"), values["All Rows"].alias("n_rows"), F.try_element_at(values, F.lit("데이터 포맷")).alias("format"), uuid.isNotNull().alias("uuid_found"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'metro|weather' ELSE 'openapi|추천해줘' END AS dataset_terms, CASE WHEN p_partkey % 2 = 0 THEN 'metro|openapi|weather' ELSE 'openapi' END AS api_terms FROM part")

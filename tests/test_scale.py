@@ -35,6 +35,23 @@ def test_a_text_is_cleaned_once(spark):
     assert [r[0] for r in rows.select(text.clean(F.col("x"))).collect()] == ["a 1.5 KB & image pdf", None]
 
 
+def test_schema_rows_are_cleaned_once_each(spark):
+    rows = spark.sql("SELECT array(named_struct('name', 'A', 'description', 'x', 'data_type', 'int', 'max_length', null, 'unit', ''), named_struct('name', 'a', 'description', 'X', 'data_type', 'INT', 'max_length', null, 'unit', '')) AS s")
+    once = rows.select(records.distinct_columns(F.col("s")).alias("s"))
+    assert cleans(once) == 6 and [c["name"] for c in once.first().s] == ["A"]
+
+
+def test_points_are_found_once(spark):
+    made = spark.createDataFrame([("[1] n - first point of it\nsecond point of it",)], "x string").select(markdown.fallback_explanation(F.lit("p"), F.col("x"), F.col("x")).alias("y"))
+    assert made._jdf.queryExecution().analyzed().toString().count("(?:src|source|source_code)") == 2
+    assert "first point of it 또한 second point of it." in made.first()[0]
+
+
+def test_a_label_twice_with_one_value(spark):
+    rows = spark.createDataFrame([("Publisher a Cycle: b Publisher a",), ("Publisher a Publisher c",)], "x string")
+    assert [r[0] for r in rows.select(text.labelled_values(F.col("x"), ["Publisher", "Cycle"])).collect()] == [{"Cycle": "b", "Publisher": "a"}, {"Publisher": "c"}]
+
+
 def test_kinds_of_variants_are_read_once(spark):
     rows = spark.sql("SELECT parse_json('[]') v")
     plan = rows.select(compound.people(rows.v, "a", "b", "c").alias("p"))._jdf.queryExecution().analyzed().toString()
