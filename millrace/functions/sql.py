@@ -28,11 +28,12 @@ _CHAR = f"CASE WHEN {_CODE} > 0 AND {_CODE} < 1114112 AND NOT {_CODE} BETWEEN 55
 def _unescaped(x: str) -> str:
     named = f"coalesce(try_element_at(from_json({_quoted(text._NAMES)}, 'map<string,string>'), {_NAME}), p)"
     one = f"CASE WHEN NOT p RLIKE {_REFERENCE} THEN p WHEN startswith({_NAME}, '#') THEN {_CHAR} ELSE {named} END"
-    return f"array_join(transform(regexp_extract_all({x}, {_quoted(text._REFERENCE + '|[^&]+|&')}, 0), p -> {one}), '')"
+    pieces = f"array_join(transform(regexp_extract_all(y, {_quoted(text._REFERENCE + '|[^&]+|&')}, 0), p -> {one}), '')"
+    return f"get(transform(array({x}), y -> CASE WHEN contains(y, '&') THEN {pieces} ELSE y END), 0)"
 
 
 def _clean(x: str) -> str:
-    return f"nullif(trim(regexp_replace(regexp_replace({_unescaped(x)}, '<[^>]+>', ' '), {_quoted(text._BLANKS)}, ' ')), '')"
+    return f"get(transform(array(trim(regexp_replace(regexp_replace({_unescaped(x)}, '<[^>]+>', ' '), {_quoted(text._BLANKS)}, ' '))), t -> CASE WHEN t <> '' THEN t END), 0)"
 
 
 _UNITS = ", ".join(f"'{name}', {float(size)!r}D" for name, size in numbers.UNITS.items())
@@ -46,8 +47,8 @@ FUNCTIONS = {
     "as_bytes": ("x STRING", "BIGINT", f"coalesce(floor(CAST({_AMOUNT} AS DOUBLE) * element_at(map({_UNITS}), lower({_UNIT}))), as_int(x))"),
     "distinct_fold": (
         "xs ARRAY<STRING>", "ARRAY<STRING>",
-        f"""transform(filter(transform(transform(xs, x -> {_clean('x')}), (x, i) -> named_struct('x', x, 'i', i, 'all', transform(slice(xs, 1, i), x -> lower({_clean('x')})))),
-            s -> s.x IS NOT NULL AND NOT coalesce(array_contains(array_compact(s.all), lower(s.x)), false)), s -> s.x)""",
+        f"""get(transform(array(transform(xs, x -> {_clean('x')})), cs -> get(transform(array(transform(cs, c -> lower(c))),
+            ls -> filter(cs, (c, i) -> c IS NOT NULL AND array_position(ls, get(ls, i)) = i + 1)), 0)), 0)""",
     ),
 }
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ingest, tables
 from millrace.plans.registry import query
-from millrace.session import table, workspace
+from millrace.session import spread, table, workspace
 from millrace.sources import files
 from millrace.streaming import events as streams
 
@@ -88,7 +88,7 @@ SELECT p_partkey, 'heading|paragraph|code' AS kinds, p_name || '|' || p_type ||
 def documentation_pages(spark, sf_dir):
     """Sections and schema tables of documentation pages; bytes of old Korean pages."""
     page = F.concat(F.lit("<h2> "), F.col("p_name"), F.lit("</h2><div><p>"), F.col("p_type"), F.lit(" <b>of</b>\n it</p></div><pre>GET /"), F.col("p_partkey").cast("string"), F.lit("</pre><table><tr><th>항목명</th><th>설명</th></tr><tr><td>col</td><td>"), F.col("p_brand"), F.lit("</td></tr></table><table><tr><td>x</td></tr></table>"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", files.sections(page).alias("s"), files.schema_rows(page).alias("c"), files.decoded(F.encode("p_name", "UTF-8")).alias("decoded"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", files.sections(page).alias("s"), files.schema_rows(page).alias("c"), files.decoded(F.encode("p_name", "UTF-8")).alias("decoded"))
     return rows.select("p_partkey", F.array_join(F.transform("s", lambda x: x["kind"]), "|").alias("kinds"), F.array_join(F.transform("s", lambda x: x["text"]), "|").alias("texts"), F.concat_ws("|", F.col("c")[0]["name"], F.col("c")[0]["description"]).alias("columns"), "decoded")
 
 

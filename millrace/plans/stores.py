@@ -6,7 +6,7 @@ from millrace.functions import arrays, numbers, text
 from millrace.functions import sql as sql_functions
 from millrace.operators import metrics
 from millrace.plans.registry import query
-from millrace.session import table, workspace
+from millrace.session import spread, table, workspace
 from millrace.sources import containment
 from millrace.sources.stored import StoredTable
 
@@ -87,13 +87,14 @@ SELECT p_partkey, p_name || ' &! ' || p_type AS tidy, CASE p_partkey % 3 WHEN 0
 def sql_function_rules(spark, sf_dir):
     """The rules for texts, flags, sizes and lists in SQL alone, beside what the Columns say."""
     sql_functions.register(spark)
-    table(spark, sf_dir, "part").createOrReplaceTempView("millrace_part")
+    part = spread(table(spark, sf_dir, "part"))
+    part.createOrReplaceTempView("millrace_part")
     rows = spark.sql(f"""
       SELECT p_partkey, tidy_text({_RAW}) AS tidy, as_bool(CASE p_partkey % 3 WHEN 0 THEN ' Open ' WHEN 1 THEN '불가' ELSE 'maybe' END) AS free,
         as_bytes(concat('about ', p_size, CASE WHEN p_partkey % 2 = 0 THEN ' KiB' ELSE ' files' END)) AS bytes, distinct_fold(array(p_name, NULL, upper(p_name), ' ', p_type, p_name)) AS terms FROM millrace_part""")
     raw = F.expr(_RAW)
     k = F.col("p_partkey")
-    said = table(spark, sf_dir, "part").select(
+    said = part.select(
         "p_partkey", text.clean(raw).alias("c_tidy"), numbers.parse_bool(F.when(k % 3 == 0, " Open ").when(k % 3 == 1, "불가").otherwise("maybe")).alias("c_free"),
         numbers.parse_bytes(F.concat(F.lit("about "), F.col("p_size").cast("string"), F.when(k % 2 == 0, " KiB").otherwise(" files"))).alias("c_bytes"),
         arrays.unique_ci(F.array(F.col("p_name"), F.lit(None).cast("string"), F.upper("p_name"), F.lit(" "), F.col("p_type"), F.col("p_name"))).alias("c_terms"),

@@ -26,6 +26,15 @@ def test_rows_of_a_small_file_are_dealt(spark):
     assert spread(rows, 50_000).rdd.getNumPartitions() == 1 and spread(rows.where("id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("name", "array_rules compound_metadata documentation_pages fallback_explanations labelled_blocks markdown_answers merged_text_codes sql_function_rules source_projections".split())
+def test_heavy_rows_have_many_tasks(spark, monkeypatch, name):
+    from millrace import session
+
+    monkeypatch.setattr(session.spread, "__defaults__", (500,))
+    made = catalog.QUERIES[name](spark, SF)
+    assert "Repartition 4, true" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_text_is_cleaned_once(spark):
     rows = spark.createDataFrame([("a <b>1.5 KB</b> &amp; image pdf",), (None,)], "x string")
     for f in (text.without_navigation, numbers.parse_bytes, numbers.modalities, numbers.parse_bool):
