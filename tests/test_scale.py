@@ -61,6 +61,12 @@ def test_a_label_twice_with_one_value(spark):
     assert [r[0] for r in rows.select(text.labelled_values(F.col("x"), ["Publisher", "Cycle"])).collect()] == [{"Cycle": "b", "Publisher": "a"}, {"Publisher": "c"}]
 
 
+def test_hangul_is_counted_by_runs(spark):
+    rows = spark.createDataFrame([("한국 1, ab",), ("abc",), ("12",), (None,)], "x string").select(text.hangul_ratio(F.col("x")).alias("r"))
+    assert [r[0] for r in rows.collect()] == [0.5, 0.0, 0.0, 0.0]
+    assert "[^A-Za-z가-힣]+" in rows._jdf.queryExecution().analyzed().toString()
+
+
 def test_kinds_of_variants_are_read_once(spark):
     rows = spark.sql("SELECT parse_json('[]') v")
     plan = rows.select(compound.people(rows.v, "a", "b", "c").alias("p"))._jdf.queryExecution().analyzed().toString()
