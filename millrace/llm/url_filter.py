@@ -27,6 +27,8 @@ RULES = ((("com", "/"), False), (("example.com", "/en/"), True), (("www.example.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets") for top in ("com", "net", "org"))
 MAX_BITS = 1 << 26
 _HASHES = 8
+#: Bytes of a level that come to the driver at once.
+_PART = 1 << 17
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -100,7 +102,8 @@ class BloomCascade:
             at = len(levels)
             hits = inside.select(F.explode(F.array(*cls._positions(F.col("key"), at, bits, hashes))).alias("p")).select(F.floor(F.col("p") / 8).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int")).alias("b"))
             table = bytearray(bits // 8)
-            for row in hits.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+            made = hits.groupBy("w").agg(F.bit_or("b").alias("b")).coalesce(1 + len(table) // _PART)  # a job a partition
+            for row in made.toLocalIterator():
                 table[row.w] = row.b
             levels.append((bits, hashes, bytes(table)))
             mistaken = others.where(cls._in_level(F.col("key"), at, levels[-1])).select("key")

@@ -98,3 +98,24 @@ def test_many_saves_share_a_batch(spark, tmp_path):
     assert [r.collected for r in told] == [2] * 19 + [1] and [r.key for r in told][:4] == ["1", "3", "5", "7"]
     assert len([d for d in os.listdir(f"{tmp_path}/out/records") if d.startswith("batch=")]) <= 4
     assert sorted(int(r.key) for r in spark.read.parquet(f"{tmp_path}/out/records").collect()) == list(range(39))
+
+
+def test_a_small_level_is_one_job(spark):
+    """However many shuffle partitions there are: a local iterator runs a job for each."""
+    from millrace.llm.url_filter import BloomCascade
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sc.setJobGroup("cascade", "levels of a cascade")
+        universe = spark.range(300).select(F.col("id").cast("string").alias("key"))
+        cascade = BloomCascade.build(universe.where("key < '2'"), universe)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("cascade"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert jobs < 15 * len(cascade.levels)
+    assert {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()} == {str(i) for i in range(300) if str(i) < "2"}
