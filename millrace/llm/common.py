@@ -4,6 +4,7 @@ Text operators get Arrow batches, cut them to a few megabytes of text (``text_ch
 NumPy: no loop over characters or words, and memory bounded by the cut (or by one text, where a single text is longer).
 """
 
+import ctypes
 import functools
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,29 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Of the C library, where it has it: free memory within its heap goes back to the system.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library hold for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run):
+    """A function of batches that gives its memory back at its end: Spark keeps workers for later tasks, of other stages too, and what
+    one of them holds free is no other's."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a cut has about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, stored, text_chunks, utf8
+from millrace.llm.common import _STEPS, Roller, Words, mix, small_batches, stored, text_chunks, tidy, utf8
 
 SPAN = 12
 #: Weight 8 each; a shift and a mask with no changed word under a 1 is enough for a hit.
@@ -128,6 +128,7 @@ class SeedIndex:
 def _append(block: list[tuple[int | None, str]], name: str, masks, stretch: int, agree: float):
     held: list[SeedIndex] = []
 
+    @tidy
     def run(batches):
         if not held:
             held.append(SeedIndex(block, masks, agree))

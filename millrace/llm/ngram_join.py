@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, mix, shingles, small_batches, stored, text_chunks, utf8
+from millrace.llm.common import Roller, Words, mix, shingles, small_batches, stored, text_chunks, tidy, utf8
 from millrace.llm.graph import components, merged
 
 #: Counters of the sketch of word frequencies (2 MB a task) and how it is cut for adding up.
@@ -102,6 +102,7 @@ def _nodes(size: int):
     """doc_id, text_id, n, node of each document; then the task's sketch in parts (doc_id null)."""
     columns = ["doc_id", "text_id", "n", "node", "part", "counts"]
 
+    @tidy
     def run(batches):
         sketch, seen = np.zeros(SKETCH, np.int64), set()
         for cut in text_chunks(batches):
@@ -143,6 +144,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(size: int, percent: int, ranks):
+    @tidy
     def run(batches):
         rank, seen = np.frombuffer(ranks.value, np.uint8), set()
         for cut in text_chunks(batches):
@@ -173,6 +175,7 @@ def bitmap(keys: np.ndarray, most: int) -> bytes:
 
 
 def _whole_sets(size: int):
+    @tidy
     def run(batches):
         for cut in text_chunks(batches):
             sets = [s for s in Sets(cut.column("text"), size).keys if len(s)]
@@ -182,6 +185,7 @@ def _whole_sets(size: int):
 
 
 def _bitmaps(size: int, most: int):
+    @tidy
     def run(batches):
         for cut in text_chunks(batches):
             sets = [s for s in Sets(cut.column("text"), size).keys if len(s)]
@@ -210,6 +214,7 @@ def reachable(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def _reachable(percent: int):
+    @tidy
     def run(batches):
         for b in batches:
             columns = (b.column(c).to_pylist() for c in ("n", "x", "m", "y"))
@@ -264,6 +269,7 @@ def _tiles(percent: int, forest: bool):
     """Streams sorted tiles; holds one."""
     names = ["a", "b", "la", "lb", "estimate", "key", "low", "high"]
 
+    @tidy
     def run(batches):
         current, rows, out = (None, None, None), [], []
 
@@ -293,6 +299,7 @@ def _tiles(percent: int, forest: bool):
 
 
 def _verify(percent: int):
+    @tidy
     def run(batches):
         for b in batches:
             keep = []

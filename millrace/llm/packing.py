@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Words, small_batches, stored, text_chunks, utf8
+from millrace.llm.common import Words, small_batches, stored, text_chunks, tidy, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -150,6 +150,7 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @tidy
     def run(batches):
         for cut in text_chunks(batches, limit=3 << 20):
             ids, offsets = token_ids(cut.column("text"), path)
@@ -529,6 +530,7 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 def _place(table: dict[str, np.ndarray]):
     key = (table["length"] << np.int64(44)) + table["rank"]
 
+    @tidy
     def run(batches):
         for b in batches:
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))

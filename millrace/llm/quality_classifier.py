@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import small_batches, stored, text_chunks, utf8
+from millrace.llm.common import small_batches, stored, text_chunks, tidy, utf8
 from millrace.llm.quality_rules import CHAR_CLASSES, TextStats
 
 #: At most so many labelled rows train the model (a bounded sample; all rows are scored).
@@ -36,6 +36,7 @@ FEATURES = (
 def _append(prefix: str):
     """A mapInArrow function that adds the FEATURES, named with ``prefix``, to rows with a text."""
 
+    @tidy
     def run(batches):
         for cut in text_chunks(batches):
             s = TextStats(*utf8(cut.column("text")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, segment_sums, shingles, small_batches, stored, text_chunks, utf8
+from millrace.llm.common import Roller, Words, segment_sums, shingles, small_batches, stored, text_chunks, tidy, utf8
 
 LANGUAGES = ("en", "de", "fr", "es")
 CHAR_CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -149,6 +149,7 @@ def _histograms(batches):
 def _shares(column: str):
     """Of a task's rows the sum of the normalised histograms of each language, and how many there are."""
 
+    @tidy
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         counts: dict[str, int] = {}

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, small_batches, stored, text_chunks, utf8
+from millrace.llm.common import Roller, Words, small_batches, stored, text_chunks, tidy, utf8
 
 LEAST_DOCS = 3
 SHARE = 1_000_000_000
@@ -58,6 +58,7 @@ def _summed(group: np.ndarray, digest: np.ndarray, *values: np.ndarray) -> tuple
 
 
 def _count(bits: int):
+    @tidy
     def run(batches):
         roller, codes, parts, held = Roller(12, fold=True), {}, [], 0
 
@@ -97,6 +98,7 @@ def _strings(data: np.ndarray, words: Words) -> pa.LargeStringArray:
 def _tell(bits: int):
     """Every digest with its string, once a task as far as it remembers."""
 
+    @tidy
     def run(batches):
         roller, told = Roller(12, fold=True), set()
         for cut in text_chunks(batches):
@@ -116,6 +118,7 @@ def _tell(bits: int):
 def _spell(bits: int):
     """The counts of a cut by string: lang, source, digest, split, count, docs."""
 
+    @tidy
     def run(batches):
         roller = Roller(12, fold=True)
         for cut in text_chunks(batches):

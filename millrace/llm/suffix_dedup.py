@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, mix, stored
+from millrace.llm.common import Roller, mix, stored, tidy
 
 LENGTH = 200
 #: A perfect difference set: every residue but 0 is a difference of two of these just once.
@@ -151,6 +151,7 @@ def _answers(dtype: str):
 
 
 def _first_in_task(packs: int, length: int):
+    @tidy
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
