@@ -7,9 +7,9 @@ The divergence of p from q at a term is  floor((p - q)^2 / q).
 Late materialization of strings:
 
 1. Texts become term counts in NumPy batches: a term is a 64-bit digest, and only (language, source, digest, count, documents) leaves a
-   task, already added up. Languages' kept digests follow from these.
-2. A second reading gives each kept digest its least and greatest string. Where they differ, different terms share the digest: these,
-   and no others, are counted again by their strings (``split``), each a term of its own.
+   task, already added up. These are dealt by digest and language, where the kept ones show without another shuffle.
+2. A second reading gives each kept digest its least string, and how many it has. Where these are several, different terms share the
+   digest: these, and no others, are counted again by their strings (``split``), each a term of its own.
 3. Pairs of sources: the sum over all kept terms is one over the histogram of a group's counts, as if no term were in both groups, and a
    correction for the terms that are. The corrections stream by term, sorted, and are added up by pair inside the tasks.
 4. Terms of a group are ranked by value with ties (a partial top-k in each task); strings are joined to the survivors alone, which order
@@ -29,6 +29,8 @@ from millrace.llm.common import Roller, Words, small_batches, stored, text_chunk
 
 LEAST_DOCS = 3
 SHARE = 1_000_000_000
+#: Counts below this, times SHARE, are longs.
+SHORT = 9_000_000_000
 TERM_RANKS = 200
 #: Counts that a task holds before it hands them on; strings that it remembers having told.
 HELD = 400_000
@@ -136,35 +138,49 @@ def _spell(bits: int):
 
 
 def _kept(counts: DataFrame) -> DataFrame:
-    """The kept terms of each language, with their count there."""
-    return counts.groupBy("lang", "digest", "split").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
+    """The counts of each language's kept terms, with the term's count in the language; ``first`` marks one row of each term."""
+    term = Window.partitionBy("digest", "lang", "split")
+    rows = counts.withColumn("lang_docs", F.sum("docs").over(term)).withColumn("lang_count", F.sum("count").over(term)).withColumn("first", F.col("source") == F.min("source").over(term))
+    return rows.where(F.col("lang_docs") >= LEAST_DOCS).select("lang", "source", "digest", "split", "count", "lang_count", "first")
+
+
+def _counted(texts: DataFrame, bits: int) -> DataFrame:
+    """The rows of kept digests. Tasks have added up what they can, so rows are dealt by term at once, and all sums of a term follow there."""
+    rows = texts.mapInArrow(_count(bits), "lang string, source string, digest long, count long, docs long").repartition("digest", "lang")
+    return _kept(rows.groupBy("lang", "source", "digest").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")).withColumn("split", F.lit("")))
+
+
+def _spelled(texts: DataFrame, bits: int) -> DataFrame:
+    """Each digest with its least string and how many it has (term, strings). Strings become distinct by hashing first: the least is found by sorting."""
+    told = texts.select("text").mapInArrow(_tell(bits), "digest long, term string").repartition("digest").distinct()
+    return told.groupBy("digest").agg(F.min("term").alias("term"), F.count("*").alias("strings"))
 
 
 def term_counts(docs: DataFrame, bits: int = _ALL_BITS) -> tuple[DataFrame, DataFrame]:
-    """Counts (lang, source, digest, split, count, docs) of all terms, and a dictionary (digest, split, term) of those that a language keeps.
+    """Kept counts (lang, source, digest, split, count, lang_count, first), and a dictionary (digest, split, term) of terms that a language keeps.
 
     ``split`` is '' where all strings of a digest are one, and the string where they are not. Fewer ``bits`` make such digests likelier.
     """
     texts = small_batches(docs.select("text", "lang", "source"))
-    counts = texts.mapInArrow(_count(bits), "lang string, source string, digest long, count long, docs long")
-    counts = stored(counts.groupBy("lang", "source", "digest").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "counts").withColumn("split", F.lit(""))
-    kept = _kept(counts).select("digest").distinct()
-    told = texts.select("text").mapInArrow(_tell(bits), "digest long, term string").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
-    words = stored(told.join(kept, "digest", "left_semi"), "words")
-    shared = words.where("term <> last").select("digest")
+    held = stored(_counted(texts, bits), "counts")
+    kept = held.where("first").select("digest").distinct()
+    words = stored(_spelled(texts, bits).join(kept, "digest", "left_semi"), "words")
+    shared = words.where("strings > 1").select("digest")
     if shared.isEmpty():
-        return counts, words.select("digest", F.lit("").alias("split"), "term")
+        return held, words.select("digest", F.lit("").alias("split"), "term")
     again = texts.mapInArrow(_spell(bits), "lang string, source string, digest long, split string, count long, docs long").join(shared, "digest", "left_semi")
-    again = stored(again.groupBy("lang", "source", "digest", "split").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "split")
-    counts = counts.join(shared, "digest", "left_anti").select(again.columns).unionByName(again)
-    words = words.where("term = last").select("digest", F.lit("").alias("split"), "term").unionByName(again.select("digest", "split", F.col("split").alias("term")).distinct())
-    return counts, words
+    again = stored(_kept(again.groupBy("lang", "source", "digest", "split").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))), "split")
+    held = held.join(shared, "digest", "left_anti").select(again.columns).unionByName(again)
+    words = words.where("strings = 1").select("digest", F.lit("").alias("split"), "term").unionByName(again.select("digest", "split", F.col("split").alias("term")).distinct())
+    return held, words
 
 
 def _probability(count, total) -> Column:
     """1 + floor(10^9 (count + 1) / total), exact for any longs."""
     wide = "decimal(19,0)"
-    return F.when(total > 0, 1 + F.call_function("div", F.lit(SHARE).cast("decimal(10,0)") * (count + 1).cast(wide), total.cast(wide))).otherwise(F.lit(None).cast("long"))
+    share = F.call_function("div", F.lit(SHARE).cast("decimal(10,0)") * (count + 1).cast(wide), total.cast(wide))
+    share = F.when(count < SHORT, F.call_function("div", F.lit(SHARE).cast("long") * (count.cast("long") + 1), total.cast("long"))).otherwise(share)
+    return F.when(total > 0, 1 + share).otherwise(F.lit(None).cast("long"))
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -228,11 +244,10 @@ def _overlaps(batches):
 
 def audit(docs: DataFrame, bits: int = _ALL_BITS) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    counts, words = term_counts(docs, bits)
-    kept = stored(_kept(counts), "terms")
-    held = stored(counts.join(kept, ["lang", "digest", "split"]).select("lang", "source", "digest", "split", "count", "lang_count"), "kept")
-    languages = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_total"))
-    sizes = held.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("distinct"))
+    held, words = term_counts(docs, bits)
+    sizes = stored(held.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count("*").alias("distinct"), F.count_if("first").alias("firsts")), "sizes")
+    languages = sizes.groupBy("lang").agg(F.sum("firsts").alias("terms"), F.sum("total").alias("lang_total"))
+    sizes = sizes.drop("firsts")
     groups = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = groups.join(languages, "lang", "left").join(sizes, ["lang", "source"], "left").na.fill(0, ["terms", "lang_total", "total", "distinct"])
     groups = groups.withColumn("base", _probability(F.lit(0), F.col("total") + F.col("terms")))
@@ -251,7 +266,7 @@ def audit(docs: DataFrame, bits: int = _ALL_BITS) -> DataFrame:
         F.sum(F.when(F.col("holds"), F.col("n") * (_divergence(F.col("other"), F.col("p")) - _divergence(F.col("other"), F.col("base")))).otherwise(0)).alias("back"),
     )
     met = met.select(F.explode(F.array(F.struct("lang", "source", "item", "value"), F.struct("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))).alias("r")).select("r.*")
-    by_term = scored.repartition("lang", "digest", "split").sortWithinPartitions("lang", "digest", "split").select("lang", "source", "digest", "split", "p", "base")
+    by_term = scored.repartition("digest", "lang", "split").sortWithinPartitions("digest", "lang", "split").select("lang", "source", "digest", "split", "p", "base")
     shared = by_term.mapInArrow(_overlaps, "lang string, source string, item string, value long")
     pairs = met.unionByName(shared).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 

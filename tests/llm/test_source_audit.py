@@ -108,3 +108,26 @@ def test_shares_are_exact_beyond_longs(spark):
     big = 2**62 + 12345
     row = spark.range(1).select(source_audit._probability(F.lit(big), F.lit(2**62 + 10**9)).alias("p")).first()
     assert row.p == 1 + 10**9 * (big + 1) // (2**62 + 10**9)
+
+
+def test_counts_are_shuffled_once_and_strings_sorted_when_distinct(spark):
+    """The rows of tasks go to their term without another aggregation before, and the kept ones are found there."""
+    texts = frame(spark, corpus(1)).select("text", "lang", "source")
+
+    def steps(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return [x for x in re.findall(r"\b(MapInArrow|Exchange|HashAggregate|SortAggregate|Window)\b", plan)][::-1]
+
+    counted, spelled = steps(source_audit._counted(texts, 64)), steps(source_audit._spelled(texts, 64))
+    assert counted[:2] == spelled[:2] == ["MapInArrow", "Exchange"] and counted.count("Exchange") == spelled.count("Exchange") == 1
+    assert "Window" in counted and spelled.index("HashAggregate") < spelled.index("SortAggregate")
+
+
+@pytest.mark.parametrize("count", [0, 1, 8_999_999_999, 9_000_000_000, 9_000_000_001, 2**60])
+def test_shares_of_short_and_long_counts(spark, count):
+    from pyspark.sql import functions as F
+
+    for total in (1, 7, count + 10**6):
+        if (1 + 10**9 * (count + 1) // total) < 2**63:
+            assert spark.range(1).select(source_audit._probability(F.lit(count), F.lit(total)).alias("p")).first().p == 1 + 10**9 * (count + 1) // total
