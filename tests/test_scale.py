@@ -119,3 +119,19 @@ def test_a_small_level_is_one_job(spark):
             spark.conf.set(k, v)
     assert jobs < 15 * len(cascade.levels)
     assert {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()} == {str(i) for i in range(300) if str(i) < "2"}
+
+
+def test_sketches_are_kept_by_group_alone(spark):
+    """Not by (group, key): the exact distinct count is an aggregation of its own, and no aggregate holds a group's values."""
+    plan = catalog.QUERIES["approx_distinct_and_quantiles"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "approx_count_distinct" in x]
+    assert lines and all("l_partkey" not in x.split("[")[1].split("]")[0] for x in lines) and "percentile(" not in plan
+    assert not any("distinct " in x or "count(distinct" in x for x in lines)
+
+
+def test_sketches_of_odd_groups_are_near(spark):
+    from millrace.plans.relational import sketches_near
+
+    rows = [("a", i % 7, float(i)) for i in range(500)] + [(None, None, None), (None, 1, 2.0), ("empty", None, None), ("one", 3, float("nan"))]
+    got = sketches_near(spark.createDataFrame(rows, "flag string, part long, quantity double"), "flag", "part", "quantity")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", True, True, 500), (None, True, True, 2), ("empty", True, True, 1), ("one", True, True, 1)], key=str)
