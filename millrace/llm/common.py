@@ -7,6 +7,7 @@ NumPy: no loop over characters or words, and memory bounded by the cut (or by on
 import ctypes
 import functools
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes handled at once. Each byte takes up to about 60 bytes of working arrays.
-CHUNK_BYTES = 1 << 20
+#: Text bytes handled at once. Each byte takes up to about 110 bytes of working arrays, powers included.
+CHUNK_BYTES = 1 << 19
+#: The same for operators that sum up within a cut.
+SUMMED_BYTES = 1 << 20
 #: Rows of an Arrow batch: few, since a row may be a long text.
 BATCH_ROWS = 1000
 
@@ -78,7 +81,9 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def give_back() -> None:
-    """Free memory that Arrow and the C library hold for later goes back to the system."""
+    """Free memory that Arrow and the C library hold for later goes back to the system, and so do the rollers' powers."""
+    for roller in _ROLLERS:
+        roller.forget()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
@@ -144,6 +149,10 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & _MASK], np.uint64))[0])
 
 
+#: All rollers of this process: modules keep theirs, and so would every idle worker keep their powers (16 bytes for each byte of a cut).
+_ROLLERS: weakref.WeakSet = weakref.WeakSet()
+
+
 class Roller:
     """64-bit hashes of any byte ranges of an array, by prefix sums of a polynomial over random byte values (modulo 2^64).
 
@@ -156,6 +165,11 @@ class Roller:
             values[65:91] = values[97:123]
         self.values = values
         self.base = (mix_int(seed + 77) & ~7 & _MASK) | 3
+        self.forget()
+        _ROLLERS.add(self)
+
+    def forget(self) -> None:
+        """Lets the powers go; they are found again when asked for."""
         self.pow = np.ones(1, np.uint64)
         self.inv = np.ones(1, np.uint64)
 

@@ -40,6 +40,8 @@ FINEST = 512
 STALLED = 2000
 #: Units by which the piece in a place of a pattern may be longer than the place.
 WIDER = 2
+#: Text bytes tokenised at once: a cut's distinct words are looked up once.
+CUT_BYTES = 1 << 20
 #: Words whose ids a worker remembers in a task (some 150 bytes each), and those that it keeps for its next task: the first ones it met.
 CACHE_WORDS = 400_000
 KEPT_WORDS = 100_000
@@ -93,9 +95,10 @@ class WordIds:
                 each = self._encode(some)
                 parts.extend(each)
                 sizes.append(np.array([len(x) for x in each]))
-        each = self._encode(other) if other else []
-        parts.extend(each)
-        sizes.append(np.array([len(x) for x in each], np.int64))
+        for i in range(0, len(other), 2000):  # what the tokenizer returns for a word takes many times its ids
+            each = self._encode(other[i : i + 2000])
+            parts.extend(each)
+            sizes.append(np.array([len(x) for x in each], np.int64))
         first = len(self.starts) - 1
         for k, w in enumerate([*plain, *other]):
             self.place[w] = first + k
@@ -132,7 +135,9 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     known = _LOADED[path]
     data, offsets = utf8(column)
     words = Words(data, offsets)
-    solid = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    solid = np.arange(len(data), dtype=np.int32)
+    solid[_MARK[data]] = 0
+    np.maximum.accumulate(solid, out=solid)
     stem = solid[words.end - 1] + 1 if len(words.end) else words.end
     cut = (stem < words.end) & (stem > words.start)
     cut[cut] = _LETTER[data[stem[cut] - 1]]
@@ -141,7 +146,7 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     plain = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[words.inside])))
     coded = plain.dictionary_encode()
-    places = known.places(coded.dictionary.to_pylist())
+    places = known.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     codes = places[coded.indices.to_numpy(zero_copy_only=False)] if len(sizes) else places
     n = np.diff(known.starts)[codes]
     ends = np.cumsum(n)
@@ -152,7 +157,7 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(path: str, capacity: int, end_id: int):
     @tidy
     def run(batches):
-        for cut in text_chunks(batches, limit=3 << 20):
+        for cut in text_chunks(batches, limit=CUT_BYTES):
             ids, offsets = token_ids(cut.column("text"), path)
             rows, piece, start, length, crc = [], [], [], [], []
             for i in range(cut.num_rows):

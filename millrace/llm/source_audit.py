@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, Words, small_batches, stored, text_chunks, tidy, utf8
+from millrace.llm.common import SUMMED_BYTES, Roller, Words, small_batches, stored, text_chunks, tidy, utf8
 
 LEAST_DOCS = 3
 SHARE = 1_000_000_000
@@ -70,7 +70,7 @@ def _count(bits: int):
             columns = [pa.array([names[g][i] for g in group.tolist()], pa.string()) for i in (0, 1)]
             return pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in (digest, count, docs))], names=["lang", "source", "digest", "count", "docs"])
 
-        for cut in text_chunks(batches):
+        for cut in text_chunks(batches, limit=SUMMED_BYTES):
             keys = zip(pc.fill_null(cut.column("lang"), "").to_pylist(), pc.fill_null(cut.column("source"), "").to_pylist(), strict=True)
             group = np.array([codes.setdefault(k, len(codes)) for k in keys], np.int64)
             _, words, digests = _terms(cut.column("text"), roller, bits)
@@ -103,7 +103,7 @@ def _tell(bits: int):
     @tidy
     def run(batches):
         roller, told = Roller(12, fold=True), set()
-        for cut in text_chunks(batches):
+        for cut in text_chunks(batches, limit=SUMMED_BYTES):
             data, words, digests = _terms(cut.column("text"), roller, bits)
             coded = _strings(data, words).dictionary_encode()
             place = np.zeros(len(coded.dictionary), np.int64)
@@ -123,7 +123,7 @@ def _spell(bits: int):
     @tidy
     def run(batches):
         roller = Roller(12, fold=True)
-        for cut in text_chunks(batches):
+        for cut in text_chunks(batches, limit=SUMMED_BYTES):
             data, words, digests = _terms(cut.column("text"), roller, bits)
             coded = _strings(data, words).dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

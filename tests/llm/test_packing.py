@@ -44,6 +44,22 @@ def test_a_task_gives_its_memory_back():
     assert held - megabytes() < 10
 
 
+def test_an_idle_worker_keeps_no_powers():
+    """A roller's powers are 16 bytes for each byte of the longest cut; each module has rollers of its own."""
+    from millrace.llm import decontamination, ngram_join, quality_classifier, quality_rules
+
+    text = " ".join(f"word{i} and" for i in range(20000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    index = decontamination._append([(1, "one two three four five six")], "found", decontamination.MASKS, 24, 0.8)
+    before = None
+    for _ in range(2):  # what is let go is found again
+        rows = [list(run(iter([batch])))[0].to_pylist() for run in (ngram_join._whole_sets(5), quality_classifier._append("x"), index)]
+        assert before in (None, rows)
+        before = rows
+        for roller in (ngram_join._ROLLER, decontamination._ROLLER, quality_rules.TextStats.roller, quality_rules.TextStats.folded):
+            assert len(roller.pow) == len(roller.inv) == 1
+
+
 def test_a_shrunk_memory_still_tells_the_ids():
     known = packing.WordIds(packing.default_tokenizer())
     texts = [f"word{i}x" for i in range(50)] + ["hello", "Ü!", "<|endoftext|>"]
