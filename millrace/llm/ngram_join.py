@@ -8,8 +8,12 @@ The document-by-n-gram incidence matrix is multiplied with its transpose in bloc
    share) among the first n - ceil(t n) + depth of each, so only those entries are multiplied; a set's depth grows with its size.
    Frequent n-grams come last and are hardly ever among them.
 3. A column with two nodes or more of like size is a block. Blocks of at most ``SMALL`` nodes give their pairs, whose overlap counts are
-   accumulated; pairs with fewer than ``depth`` are discarded, unless they meet in a large block. Large blocks are cut to tiles; in a tile, pairs
+   accumulated; pairs with fewer than ``depth`` are discarded, unless they meet in a large block. Large blocks are tiles; in a tile, pairs
    whose sizes, or whose bitmaps, bound the overlap below the threshold are discarded. What is left is verified on the whole sets.
+   A block of more than ``TILE`` nodes is first dealt anew: each of its sets meets one of them, its hub, and is told by what one of the two has
+   and the other lacks. What all near copies share is gone from that. Two sets of which one does not link with the hub can link only if
+   they differ from it in common columns, so many that one is among the first of both (``delta_prefix``). A set gives as many entries as
+   before, whatever the size of its block. A block that is still too large is dealt anew ``LEVELS`` times, then cut to several tiles.
 4. Links merge nodes to groups. First each node tries the partner (in large blocks, of the blocks' first nodes) with which it shares most
    columns; then every tile gives a spanning forest of pairs
    between its groups, of which each group tries its ``TRIES`` best, while that merges any. These rounds verify a number of pairs in
@@ -31,8 +35,11 @@ from millrace.llm.graph import components, merged
 #: Counters of the sketch of word frequencies (2 MB a task) and how it is cut for adding up.
 SKETCH = 1 << 19
 SKETCH_PARTS = 32
-#: Nodes of a tile; a block with more is cut.
+#: Nodes of a tile; a block with more is dealt anew by differences from a hub, so many times at most, and then cut.
 TILE = 1000
+LEVELS = 3
+#: Of the nodes that meet a hub, one in so many must differ from it in a column for that to be ordered by its number of nodes.
+COMMON = 64
 #: Blocks of so many nodes give all their pairs; larger ones are worked on as tiles.
 SMALL = 64
 #: n-grams of a set for one more column that its partners must share among the first ones.
@@ -166,6 +173,69 @@ def _prefixes(size: int, percent: int, ranks):
     return run
 
 
+def delta_prefix(n: int, hub: int, delta: int, percent: int) -> int:
+    """How many of the first ``delta`` columns in which a set of n differs from a hub of ``hub`` columns tell all its links but those within the hub's.
+
+    Sets of n and m link if they differ in (100 - percent) / (100 + percent) * (n + m) columns at most. Where they differ from the hub in d
+    and e columns, of which they have c in common, they differ in d + e - 2 c. If the other one does not link with the hub, so that its e is
+    above that share of (m + hub), c is above (d + share * (hub - n)) / 2. If it links and this one does not, c is at least
+    d - (100 - percent) / percent * n, since e >= c and m <= 100 / percent * n, and at least 1. Two that link with the hub are in its group.
+    """
+    near, far = 100 - percent, 100 + percent
+    common = (delta * far + near * (hub - n)) // (2 * far) + 1
+    if delta * far > near * (n + hub):  # not linked with the hub
+        common = min(common, max(1, delta - near * n // percent))
+    return max(0, delta - common + 1)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The n-grams that one of two sets has and the other lacks, ascending."""
+    both = np.sort(np.concatenate([x, y]))
+    twice = both[1:] == both[:-1]
+    out = np.ones(len(both), bool)
+    out[1:][twice] = False
+    out[:-1][twice] = False
+    return both[out]
+
+
+def _differences(batches):
+    """For (hub, x: its n-grams, y: a node's) how many nodes of the batch differ from the hub in each n-gram."""
+    for b in batches:
+        met: dict[int, list] = {}
+        for hub, x, y in zip(b.column("hub").to_pylist(), b.column("x"), b.column("y"), strict=True):
+            met.setdefault(hub, []).append(differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+        for hub, found in met.items():
+            keys, counts = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), hub)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["hub", "key", "nodes"])
+
+
+def _deltas(percent: int):
+    """For (hub, node, x: the hub's n-grams, y: the node's, common: those in which many differ from the hub, the rarest first) the first of the
+    node's differences, and a row without key where the two link."""
+
+    @tidy
+    def run(batches):
+        last, common, order = None, None, None
+        for b in batches:
+            for hub, node, x, y, often in zip(b.column("hub").to_pylist(), b.column("node").to_pylist(), b.column("x"), b.column("y"), b.column("common"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if hub != last:
+                    often = often.values.to_numpy().view(np.uint64) if often.is_valid else np.zeros(0, np.uint64)
+                    last, order = hub, np.argsort(often, kind="stable")
+                    common = often[order]
+                keys = differing(x, y)
+                linked = hub != node and len(keys) * (100 + percent) <= (100 - percent) * (len(x) + len(y))
+                at = np.minimum(np.searchsorted(common, keys), max(len(common) - 1, 0))
+                place = np.where(common[at] == keys, order[at], -1) if len(common) else np.zeros(len(keys))
+                keys = keys[np.lexsort((keys, place))][: delta_prefix(len(y), len(x), len(keys), percent)]
+                names = mix(keys ^ mix(np.array([hub]).astype(np.uint64))).view(np.int64)
+                k = len(names) + linked
+                key = pa.concat_arrays([pa.array(names), pa.nulls(int(linked), pa.int64())])
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(k, hub)), pa.array(np.full(k, node)), pa.array(np.full(k, len(y), np.int32))], names=["key", "hub", "node", "n"])
+
+    return run
+
+
 def bitmap(keys: np.ndarray, most: int) -> bytes:
     """8 to 16 bits for every n-gram, as far as ``most`` bytes go."""
     bits = min(8 * most, max(64, 8 << (len(keys) - 1).bit_length()))
@@ -330,10 +400,14 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     entries = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_prefixes(size, percent, ranks), "key long, node long, n int").repartition("key")
     entries = entries.groupBy("key", "node").agg(F.first("n").alias("n"))
-    by_size, block = Window.partitionBy("key").orderBy("n", "node"), Window.partitionBy("key")
-    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    postings = entries.withColumn("near", near).where("near").select("key", "node", "n")
-    postings = stored(postings.withColumn("m", F.count("*").over(block)), "postings")
+
+    def blocks(entries: DataFrame) -> DataFrame:
+        """The entries (key, node, n) that meet one of like size, with m, the nodes of their block."""
+        by_size, block = Window.partitionBy("key").orderBy("n", "node"), Window.partitionBy("key")
+        near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+        return stored(entries.withColumn("near", near).where("near").select("key", "node", "n").withColumn("m", F.count("*").over(block)), "postings")
+
+    postings = blocks(entries)
     located = nodes.where(F.col("doc_id").isNotNull())
     repeats = bool(located.groupBy("doc_id").count().where("count > 1").take(1))
 
@@ -353,8 +427,41 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     asked = F.least(1 + F.floor(F.col("n") / DEPTH_STEP), F.ceil(F.lit(percent) * F.col("n") / 100))
     close = stored(close.where(F.col("shared") >= asked).select("a", "b", "shared"), "close")
 
+    # Blocks of more than a tile: entries by differences from a hub, and which nodes link with theirs.
+    def dealt_anew(big: DataFrame) -> DataFrame:
+        often = Window.partitionBy("node")
+        counted = big.withColumn("blocks", F.count("*").over(often))  # a hub of many blocks, so that a node meets few
+        hub_of = counted.groupBy("key").agg(F.max(F.struct("blocks", F.xxhash64("node"), "node"))["node"].alias("hub"))
+        met = stored(big.join(hub_of, "key").select("hub", "node").distinct(), "met")
+        sets = of_texts(met.select("node").distinct(), _whole_sets(size), "node long, keys binary", "sets")  # a hub is a node of its block
+        both = met.join(sets.withColumnRenamed("keys", "y"), "node").join(sets.toDF("hub", "x"), "hub")
+        counts = both.select("hub", "x", "y").mapInArrow(tidy(_differences), "hub long, key long, nodes long").groupBy("hub", "key").agg(F.sum("nodes").alias("nodes"))
+        counts = counts.join(met.groupBy("hub").agg(F.count("*").alias("all")), "hub").where(F.col("nodes") * COMMON >= F.col("all"))
+        common = counts.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("nodes", "key")))["key"].alias("common"))  # COMMON times the mean difference at most
+        both = both.join(stored(common, "common"), "hub", "left").select("hub", "node", "x", "y", "common")
+        return stored(both.mapInArrow(_deltas(percent), "key long, hub long, node long, n int"), "deltas")
+
+    large = postings.where((F.col("m") > SMALL) & (F.col("m") <= TILE))
+    big, near_hub = postings.where(F.col("m") > max(SMALL, TILE)), None
+    for _ in range(LEVELS):
+        if not big.take(1):
+            break
+        rows = dealt_anew(big)
+        links = rows.where(F.col("key").isNull()).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.lit(True).alias("linked"))
+        near_hub = links if near_hub is None else near_hub.union(links)
+        rows = blocks(rows.where(F.col("key").isNotNull()).select("key", "node", "n"))
+        large, big = large.union(rows.where(F.col("m") <= TILE)), rows.where(F.col("m") > TILE)
+    large = large.union(big)
+
+    labels, tried = stored(postings.select("node").distinct().withColumn("label", F.col("node")), "labels"), None
+    if near_hub is not None:
+        tried = stored(near_hub.distinct(), "verified")
+        labels = merged(labels, tried)
+        named = large.join(labels, "node")
+        open_ = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("key")
+        large = stored(large.join(open_, "key", "left_semi"), "large")  # a block of one group is done
+
     # Large blocks: tiles.
-    large = postings.where(F.col("m") > SMALL)
     in_large = large.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # no more than the prefix has
     marks = of_texts(in_large.select("node"), _bitmaps(size, TILE_BYTES), "node long, bitmap binary, n long", "bitmaps")
     marks = stored(in_large.join(marks.select("node", "bitmap"), "node"), "marks")
@@ -366,7 +473,8 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
         rows = rows.join(split, "key", "left_semi")
         cuts = F.ceil(F.col("m") / TILE).cast("int")
         own = F.pmod(F.xxhash64("node"), cuts).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+        whole = rows.where(F.col("m") <= TILE).withColumn("own", F.lit(0)).withColumn("other", F.lit(0))
+        rows = whole.union(rows.where(F.col("m") > TILE).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1))))
         rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "node", "grp", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
         if before is not None:
             rows = rows.join(before.select("key", "low", "high").distinct(), ["key", "low", "high"], "left_semi")
@@ -390,9 +498,10 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hubs = sized.join(first_of, ["key", "size"]).where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     hubs = hubs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
-    labels = stored(postings.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    tried = verified(_best(close.unionByName(hubs), "a", "b", "shared", 1))
-    labels, tiles = merged(labels, tried.where("linked")), None
+    first_tries = _best(close.unionByName(hubs), "a", "b", "shared", 1)
+    first_tries = verified(first_tries if tried is None else first_tries.join(tried, ["a", "b"], "left_anti"))
+    tried = first_tries if tried is None else tried.union(first_tries)
+    labels, tiles = merged(labels, first_tries.where("linked")), None
     for _ in range(ROUNDS):
         tiles = tile_pairs(labels, True, tiles)
         more = verified(_best(tiles, "la", "lb", "estimate", TRIES).join(tried, ["a", "b"], "left_anti"))

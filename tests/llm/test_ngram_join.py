@@ -115,3 +115,63 @@ def test_a_group_of_near_copies_makes_few_candidates(spark, monkeypatch):
             rows.append((i, " ".join(w)))
         got = pairs(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90), "doc_id", "n_shingles", "component_id")
         assert got == want(rows, 3, 90) and sum(tried) < 6 * n
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_links_share_one_of_the_first_differences_from_a_hub(percent):
+    """All but those between two sets that both link with the hub, whatever the order of the columns."""
+    rng = random.Random(percent)
+
+    def linked(a, b):
+        return 100 * len(a & b) >= percent * len(a | b)
+
+    def first(x, hub):
+        delta = sorted(x ^ hub)
+        return set(delta[: ngram_join.delta_prefix(len(x), len(hub), len(delta), percent)])
+
+    seen = 0
+    for _ in range(4000):
+        base = rng.sample(range(400), rng.randrange(1, 30))
+        hub, x = (set(base) ^ set(rng.sample(range(400), rng.randrange(9))) for _ in range(2))
+        y = x ^ set(rng.sample(range(400), rng.randrange(7)))
+        if not hub or not x or not y or not linked(x, y) or linked(x, hub) and linked(y, hub) or x == y:
+            continue
+        seen += 1
+        assert first(x, hub) & first(y, hub), (hub, x, y)
+    assert seen > 100
+
+
+def test_rows_of_a_large_group_grow_with_its_nodes(spark, monkeypatch):
+    """A group with many edits, most of which do not link, is dealt to tiles in rows that grow with it, not with its square."""
+    monkeypatch.setattr(ngram_join, "TILE", 30)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    rows, of_tiles = spark.sparkContext.accumulator(0), ngram_join._tiles
+
+    def counting(percent, forest):
+        run = of_tiles(percent, forest)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    yield b
+
+            return run(each())
+
+        return counted
+
+    monkeypatch.setattr(ngram_join, "_tiles", counting)
+    rng, dealt = random.Random(12), []
+    base = words(rng, 70, 5000).split()
+    for n in (100, 400):
+        docs = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(12)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(3000)}"
+            docs.append((i, " ".join(w)))
+        before = rows.value
+        got = pairs(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80), "doc_id", "n_shingles", "component_id")
+        assert got == want(docs, 3, 80)
+        dealt.append(rows.value - before)
+    assert 0 < dealt[1] < 6 * dealt[0], dealt
